@@ -6,7 +6,11 @@ import importlib
 
 #: (module, query function, name of its SQL constant or None)
 _TABLE = [
+    ("decontaminate", "op1_benchmark_decontamination", "OP1_SQL"),
+    ("mixing", "op2_hierarchical_mixing", "OP2_SQL"),
     ("near_dup", "op3_minhash_near_dup", "OP3_SQL"),
+    ("shard", "op8_sampled_splitter_shards", None),
+    ("quality", "op10_quality_classifier", None),
 ]
 
 
