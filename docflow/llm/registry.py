@@ -10,6 +10,7 @@ _TABLE = [
     ("mixing", "op2_hierarchical_mixing", "OP2_SQL"),
     ("near_dup", "op3_minhash_near_dup", "OP3_SQL"),
     ("shard", "op8_sampled_splitter_shards", None),
+    ("substring", "op9_substring_dedup", "OP9_SQL"),
     ("quality", "op10_quality_classifier", None),
 ]
 
