@@ -9,8 +9,10 @@ _TABLE = [
     ("decontaminate", "op1_benchmark_decontamination", "OP1_SQL"),
     ("mixing", "op2_hierarchical_mixing", "OP2_SQL"),
     ("near_dup", "op3_minhash_near_dup", "OP3_SQL"),
+    ("warc", "op4_warc_salvage", None),
     ("urls", "op5_blocked_bloom_url_filter", "OP5_SQL"),
     ("tokens", "op6_digest_cache_tokens", None),
+    ("vectors", "op7_rotated_code_near_dup", "OP7_SQL"),
     ("shard", "op8_sampled_splitter_shards", None),
     ("substring", "op9_substring_dedup", "OP9_SQL"),
     ("quality", "op10_quality_classifier", None),
