@@ -283,12 +283,12 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa
     """Each stretch of a frequent minimiser to the sub-shards of its runs."""
     for batch in batches:
         at, shard = [], []
-        anchor, ways = batch.column("anchor").to_numpy(), batch.column("ways").to_numpy()
+        anchor, ways = batch.column("anchor").to_numpy().view(np.uint64), batch.column("ways").to_numpy()
         for i, w in enumerate(batch.column("words")):
             runs = K.windows(np.frombuffer(w.as_py(), np.uint64), length)
-            own = np.unique(runs % K.U64(ways[i])) if len(runs) else []
+            own = np.unique(runs % K.U64(int(ways[i]))) if len(runs) else runs
             at += [i] * len(own)
-            shard += [int(K.signed(K.mix64(np.array([np.uint64(anchor[i] & (2**64 - 1)) ^ x], np.uint64)))[0]) | n for x in own]
+            shard += K.signed(K.mix64(own ^ anchor[i])).tolist() if len(own) else []
         idx = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(idx) for c in ("anchor", "content", "least", "words")), pa.array(shard, pa.int64())], ["anchor", "content", "least", "words", "shard"])
 
