@@ -8,8 +8,10 @@ coordinates, so each representative keeps only its rarest such prefix; values th
 occur once fill the prefix first and cost nothing, which drops most documents.
 Long postings are not merged pair by pair: a star round first checks each document
 against the posting's pivot it collides with most, and components of checked links
-are formed; after that only pairs in different components remain, and
-their collisions are counted on the whole signatures inside the posting join.
+are formed.  Postings that lie in one component are settled and skipped.  Documents that
+the others chain together are dealt to bounded cells (pairs of blocks of a
+chain); a cell counts its collisions on the full shingle sets at once and returns
+a spanning forest of its links, so a group's pairs are never emitted.
 Every link is confirmed on the full shingle sets.
 
 At ``coords=32, match=12`` a pair of similarity 0.85 (0.8) is missed by the
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import components, stash, table
 
+#: Bounds of one side of a cell of documents compared in one piece.
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"
 
 
@@ -65,7 +69,6 @@ def signatures(docs: DataFrame, n: int, coords: int) -> DataFrame:
 def _check(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        other: list[np.ndarray] = []
         at = 0
         left = (s for _, sets in K.shingle_sets(batch.column(2), n) for s in sets)
         right = (s for _, sets in K.shingle_sets(batch.column(3), n) for s in sets)
@@ -74,7 +77,6 @@ def _check(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Ite
             if both and den * both >= num * (len(a) + len(b) - both):
                 keep.append(at)
             at += 1
-        del other
         idx = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(idx), batch.column(1).take(idx)], ["u", "v"])
 
@@ -87,6 +89,68 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return two.mapInArrow(lambda it: _check(it, n, num, den), "u long, v long")
 
 
+def _forest(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect what the links among these documents connect, one per document at most."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets])
+    if m <= 6:
+        linked = np.zeros((m, m), dtype=bool)
+        for i in range(m):
+            for j in range(i + 1, m):
+                if den * min(size[i], size[j]) >= num * max(size[i], size[j]):
+                    both = K.common(sets[i], sets[j])
+                    linked[i, j] = linked[j, i] = both > 0 and den * both >= num * (size[i] + size[j] - both)
+    else:
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.cumsum(seen > 1) - 1
+        row = np.repeat(np.arange(m), size)
+        keep = seen[column] > 1
+        row, column = row[keep], rank[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((m, m), dtype=np.float32)
+        width = 2048
+        edge = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else 0) + width + 1, width))
+        for a, b in zip(edge[:-1], edge[1:]):
+            if b > a:
+                part = np.zeros((m, width), dtype=np.float32)
+                part[row[a:b], column[a:b] % width] = 1
+                both += part @ part.T
+        count = both.astype(np.int64)
+        linked = (count > 0) & (den * count >= num * (size[:, None] + size[None, :] - count))
+        np.fill_diagonal(linked, False)
+    label = np.arange(m)
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], m).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return [(ids[i], ids[label[i]]) for i in range(m) if label[i] != i]
+        label = least
+
+
+def _cells(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each cell; rows come sorted by cell, and a cell is bounded."""
+    cell, ids, sets = None, [], []
+
+    def done() -> pa.RecordBatch:
+        edges = _forest(ids, sets, num, den) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+        names = batch.column(3).to_pylist()
+        for at, block in K.shingle_sets(batch.column(4), n):
+            for k, x in enumerate(block):
+                if keys[at + k] != cell:
+                    if len(ids) > 1:
+                        yield done()
+                    cell, ids, sets = keys[at + k], [], []
+                ids.append(names[at + k])
+                sets.append(x)
+    if len(ids) > 1:
+        yield done()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, coords: int = 32, match: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (see the module)."""
     sigs = stash(signatures(docs, n, coords), "signatures")
@@ -107,13 +171,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     comp = stash(components(links), "components")
 
     now = pre.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rest = now.join(mixed, "key").join(reps.select("rep", "sig"), "rep")
-    a = rest.select("key", F.col("rep").alias("u"), F.col("comp").alias("cu"), F.col("sig").alias("su"))
-    b = rest.select("key", F.col("rep").alias("v"), F.col("comp").alias("cv"), F.col("sig").alias("sv"))
-    same = sum((F.when(F.col("su")[k] == F.col("sv")[k], 1).otherwise(0) for k in range(coords)), F.lit(0))
-    left = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (same >= match)).select("u", "v").distinct()
-    more = stash(confirmed(stash(left, "rest"), texts, n, num, den), "more-links")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("rep").alias("hub")).where("a <> b").select("key", "hub")
+    chained = components(now.join(mixed, "key").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    chained = stash(chained.withColumnsRenamed({"node": "doc_id", "component": "cluster"}).join(texts.dropDuplicates(["doc_id"]), "doc_id"), "clusters")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1))
+    cells = chained.join(chained.groupBy("cluster").agg(size.cast("int").alias("ways")), "cluster")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, ways - 1)")))
+    cells = cells.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "text")
+    cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    more = stash(cells.mapInArrow(lambda it: _cells(it, n, num, den), "u long, v long"), "more-links")
     comp = components(links.unionByName(more))
 
     named = reps.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
