@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: list[str] = ["docflow.queries_text"]
+_MODULES: list[str] = ["docflow.queries_text", "docflow.queries_state", "docflow.queries_diag"]
 
 
 def queries() -> dict:
