@@ -103,6 +103,9 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
         if not colon:
             raise ValueError("bad header line")
         headers[k.strip().lower()] = v.strip()
+    for name in ("warc-type", "warc-record-id", "warc-date"):
+        if name not in headers:
+            raise ValueError(f"no {name}")
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
     end = stop + 4 + int(headers["content-length"])
@@ -193,15 +196,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["m"])
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Write pages(page_id, url, html) as gzip WARC files in folder path."""
+def write_archives(pages: DataFrame, path: str, least: int = 0, records_per_file: int = 0) -> None:
+    """Write pages(page_id, url, html) as gzip WARC files in folder path.
+
+    Payloads meet their response's id by one join on the digest; only digests are aggregated.
+    """
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_LAST)).alias("page_id"), "url", "html").mapInArrow(_digests, "page_id long, url string, payload binary, digest string")
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
     full = rows.join(first, "digest", "left")
     back = F.when((F.col("first") < F.col("page_id")) & (F.octet_length("payload") >= least), F.col("first"))
     full = full.select(F.when(F.col("page_id") != _LAST, F.col("page_id")).alias("page_id"), "url", "payload", "digest", back.alias("refers_to"))
     out = full.mapInArrow(_members, "m binary").select(F.col("m").cast("string").alias("value"))
-    out.write.option("lineSep", "\0").option("compression", "none").text(path)
+    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -245,8 +251,8 @@ FILE_BYTES = 16 << 20
 
 def archive(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """write_archives with files of about file_bytes of payload."""
-    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()[0] or 0
-    write_archives(pages.repartition(max(1, -(-total // file_bytes))), path, least)
+    count, total = pages.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()
+    write_archives(pages, path, least, max(1, file_bytes * count // (total or 1)))
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
