@@ -122,10 +122,10 @@ def gen_13_prepared_batch(spark, d):
     return C.prepare_batch(docs(spark, d).select("doc_id", "text"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: '[' || i || '] ' || x) AS items FROM documents WHERE NOT contains(text, '['))
+@query(f"""WITH r AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: '[' || i || '] ' || x) AS items FROM documents)
 SELECT doc_id, CASE WHEN len(items) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_transform(items, lambda x: {sql_trim('x')}) END AS items FROM r""")
 def gen_10_reference_items(spark, d):
-    numbered = docs(spark, d).where(~F.contains("text", F.lit("["))).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n").alias("text"))
+    numbered = docs(spark, d).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n").alias("text"))
     return numbered.select("doc_id", G.reference_items(F.col("text")).alias("items"))
 
 
@@ -186,16 +186,19 @@ def str_01_clean_repeats(spark, d):
     return docs(spark, d).select("doc_id", T.clean_repeats(F.col("text")).alias("clean"))
 
 
-@query("SELECT doc_id, " + sql_trim(f"regexp_replace(regexp_replace(replace(text, 'th', 'th-'), '([A-Za-z])-[{RE_BLANK}]*([a-z])', '\\1\\2', 'g'), '[{RE_BLANK}]+', ' ', 'g')") + " AS clean FROM documents WHERE NOT contains(text, '-')")
+def _unbroken(x: str) -> str:
+    return f"regexp_replace({x}, '([A-Za-z])-[{RE_BLANK}]*([a-z])', '\\1\\2', 'g')"
+
+
+@query("SELECT doc_id, " + sql_trim(f"regexp_replace({_unbroken(_unbroken('t'))}, '[{RE_BLANK}]+', ' ', 'g')") + " AS clean FROM (SELECT doc_id, replace(text, 'th', 'th-') AS t FROM documents)")
 def str_02_unhyphenate(spark, d):
-    t = docs(spark, d).where(~F.contains("text", F.lit("-"))).select("doc_id", F.replace("text", F.lit("th"), F.lit("th-")).alias("text"))
+    t = docs(spark, d).select("doc_id", F.replace("text", F.lit("th"), F.lit("th-")).alias("text"))
     return t.select("doc_id", T.unhyphenate(F.col("text")).alias("clean"))
 
 
-@query(r"SELECT doc_id, CAST(ceil((1200 + 10 * b + 25 * w + 35 * (length(t) - b - w - o) + 100 * o) / 100) AS INTEGER) AS tokens FROM (SELECT doc_id, t, length(t) - length(regexp_replace(t, '[\t\n\f\r ]', '', 'g')) AS b, length(t) - length(regexp_replace(t, '[A-Za-z0-9]', '', 'g')) AS w, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS o FROM (SELECT doc_id, left(text, 400) AS t FROM documents))")
+@query(r"SELECT doc_id, CAST(ceil((1200 + 10 * b + 25 * w + 35 * (length(t) - b - w - o) + 100 * o) / 100) AS INTEGER) AS tokens FROM (SELECT doc_id, t, length(t) - length(regexp_replace(t, '[\t\n\f\r ]', '', 'g')) AS b, length(t) - length(regexp_replace(t, '[A-Za-z0-9]', '', 'g')) AS w, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS o FROM (SELECT doc_id, text AS t FROM documents))")
 def str_03_token_estimate(spark, d):
-    """STR-03 on the first 400 characters, as a batch of short prompts would be."""
-    return docs(spark, d).select("doc_id", T.estimate_tokens(F.left("text", F.lit(400))).alias("tokens"))
+    return docs(spark, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(url, '\.txt$', '') AS u FROM pages), c AS (SELECT page_id, left(trim(regexp_replace(regexp_replace(u, '[/\\:*?"<>|\x00-\x1F]', ' ', 'g'), ' +', ' ', 'g')), 80) AS s FROM t) SELECT page_id, CASE WHEN s = '' THEN 'Untitled' ELSE s END AS stem FROM c""")
@@ -222,10 +225,10 @@ def str_06_07_08_page_paths(spark, d):
 _LANG_CASE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'English' END"
 
 
-@query(f"SELECT doc_id, {_LANG_CASE.format('lang')} || ': ' || {_clean_sql('left(text, 300)')} || chr(10) || chr(10) || {_LANG_CASE.format(LANGS)} || ':' AS prompt, [chr(10) || chr(10) || {_LANG_CASE.format('lang')} || ':', chr(10) || chr(10) || {_LANG_CASE.format(LANGS)} || ':'] AS stops FROM documents")
+@query(f"SELECT doc_id, {_LANG_CASE.format('lang')} || ': ' || {_clean_sql('text')} || chr(10) || chr(10) || {_LANG_CASE.format(LANGS)} || ':' AS prompt, [chr(10) || chr(10) || {_LANG_CASE.format('lang')} || ':', chr(10) || chr(10) || {_LANG_CASE.format(LANGS)} || ':'] AS stops FROM documents")
 def str_09_10_prompt(spark, d):
     x = docs(spark, d).withColumn("target", F.expr(LANGS))
-    return x.select("doc_id", T.prompt(F.left("text", F.lit(300)), F.col("lang"), F.col("target")).alias("prompt"), T.stop_sequences(T.language_name(F.col("lang")), T.language_name(F.col("target"))).alias("stops"))
+    return x.select("doc_id", T.prompt(F.col("text"), F.col("lang"), F.col("target")).alias("prompt"), T.stop_sequences(T.language_name(F.col("lang")), T.language_name(F.col("target"))).alias("stops"))
 
 
 @query(f"SELECT doc_id, {sql_trim('text')} AS answer FROM documents")
@@ -322,11 +325,11 @@ def dat_02_relative_age(spark, d):
     return table(spark, d, "events").select("event_id", V.age((i * i % 80_000_000) * 1000).alias("age"))
 
 
-@query("SELECT conv_id, [CASE WHEN n > 1 THEN first_text END, CASE WHEN n > 1 THEN second_text END] AS texts, CASE WHEN n = 1 THEN 'missing choice 1' END AS error FROM (SELECT conv_id, count(*) AS n, trim(min_by(text, turn)) AS first_text, trim(arg_min(text, turn) FILTER (turn > 0)) AS second_text FROM conversations GROUP BY conv_id) WHERE n > 1")
+@query("SELECT conv_id, CASE WHEN n > 1 THEN [first_text, second_text] END AS texts, CASE WHEN n = 1 THEN 'missing choice 1' END AS error FROM (SELECT conv_id, count(*) AS n, trim(min_by(text, turn)) AS first_text, trim(arg_min(text, turn) FILTER (turn > 0)) AS second_text FROM conversations GROUP BY conv_id)")
 def jsn_01_choices(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("index"), F.struct(F.col("text").alias("content")).alias("message")))).alias("choices"))
     answer = F.to_json(F.struct(F.reverse("choices").alias("choices")))
-    return c.where(F.size("choices") > 1).select("conv_id", V.translations(answer, F.lit(2)).alias("t")).select("conv_id", "t.texts", "t.error")
+    return c.select("conv_id", V.translations(answer, F.lit(2)).alias("t")).select("conv_id", "t.texts", "t.error")
 
 
 @query("SELECT conv_id, trim(string_agg(text, '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
