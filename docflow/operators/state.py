@@ -23,10 +23,15 @@ def durable_status(status: Column) -> Column:
 
 
 def upsert_pages(pages: DataFrame, commits: DataFrame) -> DataFrame:
-    """Page commits over states: status made durable, artifact kept only with translated."""
+    """Page commits over states: status made durable, artifact kept only with translated.
+
+    The greatest seq wins; states without seq yield to every commit.
+    """
     c = commits.withColumn("status", durable_status(F.col("status")))
     c = c.withColumns({"path": F.when(F.col("status") == "translated", F.col("path")), "version": F.when(F.col("status") == "translated", F.col("version"))})
-    return upsert(pages.withColumn("seq", F.lit(-1).cast("long")), c, ["job_id", "page_number"], "seq").drop("seq")
+    old = pages if "seq" in pages.columns else pages.withColumn("seq", F.lit(-1).cast("long"))
+    out = upsert(old, c, ["job_id", "page_number"], "seq")
+    return out if "seq" in pages.columns else out.drop("seq")
 
 
 def mark(segments: DataFrame, ids: DataFrame, status: str, error: Column | None = None) -> DataFrame:

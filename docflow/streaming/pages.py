@@ -29,12 +29,13 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 32)
 def commit_pages(stream: DataFrame, state_path: str, checkpoint: str):
     """Upsert page events into a versioned page table; each micro-batch writes a version once.
 
+    An event older than the state it meets, because files came out of order, changes nothing.
     A batch that is run again after a failure overwrites its own version, so every event takes effect once.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        schema = "job_id string, page_number int, status string, path string, version string"
+        schema = "job_id string, page_number int, status string, path string, version string, seq long"
         old = spark.read.schema(schema).parquet(f"{state_path}/v={number - 1}") if number else spark.createDataFrame([], schema)
         new = demux(batch).where("kind in ('page', 'error')").select("job_id", "page_number", F.when(F.col("kind") == "page", "translated").otherwise("failed").alias("status"), "path", F.lit(None).cast("string").alias("version"), F.col("ts_ms").alias("seq"))
         upsert_pages(old, new).write.mode("overwrite").parquet(f"{state_path}/v={number}")
