@@ -41,12 +41,17 @@ PREFIXES = (4, 5, 6)
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted 32-bit hashes
     weights: np.ndarray  # of the words
     endings: np.ndarray  # 65536 weights
     thresholds: np.ndarray  # ascending, GRADES - 1
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 32 leading bits, which stand for a feature: halves what the driver gathers."""
+    return (h >> K.U64(32)).astype(np.uint32)
+
+
 def _hashes(block: np.ndarray, row: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature hash) of the words, then of their prefixes of each length."""
     yield row, h
@@ -82,14 +87,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(n):
                 own = [h[slice(*np.searchsorted(r, [i, i + 1]))] for r, h in hashes]
                 e, c = np.unique(kind[at[i] : at[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + i, 1), pa.array([np.unique(np.concatenate(own)).tobytes() if own else b""], pa.binary()), pa.array([e.astype(np.int32).tobytes()], pa.binary()), pa.array([(c / max(1, at[i + 1] - at[i])).astype(np.float32).tobytes()], pa.binary())], ["grade", "words", "endings", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + i, 1), pa.array([np.unique(_short(np.concatenate(own))).tobytes() if own else b""], pa.binary()), pa.array([e.astype(np.int32).tobytes()], pa.binary()), pa.array([(c / max(1, at[i + 1] - at[i])).astype(np.float32).tobytes()], pa.binary())], ["grade", "words", "endings", "shares"])
 
 
 def grade(quality="quality", toxic="toxic"):
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 1e-3, l2: float = 1e-5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 1e-3, l2: float = 1e-5) -> Model | None:
     rated = labels.select("doc_id", grade().alias("grade")).where("grade is not null and doc_id is not null")
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long"), "text")
@@ -116,9 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3,
 
     # A word enters if it speaks against text strongly enough to leave zero under the penalty.
     first, _ = slopes(np.zeros(n), t)
-    sets = [np.frombuffer(g[1], np.uint64) for g in got]
+    sets = [np.frombuffer(g[1], np.uint32) for g in got]
     seen, at = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
     df, pull = np.bincount(at, minlength=len(seen)), np.bincount(at, first[doc], len(seen))
     chosen = np.flatnonzero((pull > l1) & (df >= min_df))
     chosen = np.sort(chosen[np.argsort(-pull[chosen], kind="stable")[:max_features]])
@@ -126,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3,
     column[chosen] = np.arange(len(chosen))
     c = column[at]
     r, c, words = doc[c >= 0], c[c >= 0], seen[chosen]
+    del sets, seen, at, doc, column, df, pull
     ends = [np.frombuffer(g[2], np.int32) for g in got]
     r2 = np.repeat(np.arange(n), [len(e) for e in ends])
     c2, v2 = np.concatenate(ends), np.concatenate([np.frombuffer(g[3], np.float32) for g in got]) * ENDING
@@ -151,16 +157,17 @@ def _score(batches: Iterator[pa.RecordBatch], shared, floor: float) -> Iterator[
     m = shared.value
     size = max(1, len(m.words))
     bits = np.zeros(1 << 16, dtype=bool)
-    bits[(m.words >> K.U64(48)).astype(np.int64)] = True
+    bits[m.words >> np.uint32(16)] = True
     for batch in batches:
         out = []
         for _, n, row, hashes, kind in _parts(batch.column(1)):
             pairs = [np.zeros(0, np.int64)]
             for r, h in hashes if len(m.words) else []:
                 near = np.flatnonzero(bits[(h >> K.U64(48)).astype(np.int64)])
-                at = np.searchsorted(m.words, h[near])
+                own = _short(h[near])
+                at = np.searchsorted(m.words, own)
                 at[at == size] = 0
-                hit = m.words[at] == h[near]
+                hit = m.words[at] == own
                 pairs.append(r[near[hit]] * size + at[hit])
             pair = np.unique(np.concatenate(pairs))
             s = np.bincount(pair // size, m.weights[pair % size] if len(pair) else None, n).astype(float)
@@ -172,7 +179,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, floor: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(2 - below.sum(1)), pa.array(tail), pa.array(tail >= floor)], [*batch.schema.names[2:], "expected_grade", "p_good", "keep"])
 
 
-def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor: float = 0.75) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor: float = 0.5) -> DataFrame:
     """keep_columns of docs with expected_grade, p_good and keep, in one pass without a shuffle."""
     if model is None:
         return docs.select(*keep_columns).withColumns({"expected_grade": F.lit(None).cast("double"), "p_good": F.lit(None).cast("double"), "keep": F.lit(True)})
@@ -182,7 +189,7 @@ def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor:
     return given.mapInArrow(lambda it: _score(it, shared, floor), f"{kinds}, expected_grade double, p_good double, keep boolean")
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, floor: float = 0.75) -> DataFrame:
+def select_quality(docs: DataFrame, labels: DataFrame, floor: float = 0.5) -> DataFrame:
     """The rows of docs, own columns only, that the classifier keeps."""
     cols = docs.columns
     packed = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"))
