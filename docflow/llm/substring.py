@@ -10,7 +10,8 @@ document with a smaller id.  Three facts keep this from being all against all:
 * documents with equal word sequences count once, under their least id; the others
   lose everything (or, below ``length`` words, nothing);
 * the stretches of words around a repeated minimiser are collapsed by content with their
-  least id before they form a reference shard.
+  least id before they form a reference shard; a minimiser with one content everywhere
+  needs no shard, and only the texts of least ids are asked for the words of the others.
 
 Shards are formed by minimiser, so a document visits only shards that can hold its runs; a
 frequent minimiser's stretches are dealt to sub-shards by the hash of their runs.  In its
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,17 +69,29 @@ def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "d1", "d2", "sha"])
 
 
+def _over(x: np.ndarray, n: int, f) -> np.ndarray:
+    """f of each n consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= n:
+        x = f(x[: len(x) - width], x[width:])
+        width *= 2
+    return f(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
+
+
 def anchors(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, row, word position in row) of the distinct minimisers of the rows' runs."""
+    """(gram hash, row, word position in row) of the minimisers of the rows' runs.
+
+    A gram is one if it equals the minimum of a run that covers it; equal minima all count.
+    """
     if len(h) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    g = K.windows(h, GRAM)
+    g = K.windows(h, GRAM) | K.U64(1)
     span = length - GRAM + 1
-    at = sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
-    at = at[row[: len(h) - length + 1] == row[length - 1 :]]
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    at = np.unique(at)
+    least = _over(g, span, np.minimum)
+    least[row[: len(least)] != row[length - 1 :]] = 0
+    pad = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_over(np.concatenate([pad, least, pad]), span, np.maximum) == g)
     return g[at], row[at], at - first[row[at]]
 
 
@@ -130,31 +142,50 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (a[-1], c[-1], bool(two[-1]))
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, anchor, start, content hash and word hashes of the runs around repeated anchors."""
+def _contents(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of the stretches h[lo:hi] in a row, offsets, content hash of each)."""
+    size = hi - lo
+    offset = np.concatenate([[0], np.cumsum(size)])
+    within = np.arange(offset[-1]) - np.repeat(offset[:-1], size)
+    w = h[np.repeat(lo, size) + within]
+    if not len(size):
+        return w, offset, np.zeros(0, np.int64)
+    odd = K.constants(int(size.max()), 808)
+    with np.errstate(over="ignore"):
+        content = K.mix64(np.add.reduceat(K.mix64(w) * odd[within], offset[:-1]) + size.astype(np.uint64))
+    return w, offset, K.signed(content)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, anchor, start and content hash of the runs around a document's listed anchors.
+
+    Column 2 lists the anchors' positions, or with words the starts of the stretches; then the
+    word hashes come too.
+    """
     for batch in batches:
         raw, off = K.utf8(batch.column(1))
-        places = batch.column(2)
+        listed = batch.column(2)
         for a, b in K.slices(off):
             h, first = K.words(raw, off[a : b + 1], False)
             g, row, pos = anchors(h, first, length)
-            doc, anchor, start, content, words = [], [], [], [], []
-            edge = np.searchsorted(row, np.arange(b - a + 1))
-            for i in range(b - a):
-                mine = slice(edge[i], edge[i + 1])
-                hot = np.isin(pos[mine], places[a + i].values.to_numpy())
-                n = int(first[i + 1] - first[i])
-                w = h[first[i] : first[i + 1]]
-                for x, p in zip(g[mine][hot], pos[mine][hot]):
-                    lo, hi = max(0, int(p) - (length - GRAM)), min(n, int(p) + length)
-                    part = w[lo:hi]
-                    doc.append(a + i)
-                    anchor.append(x)
-                    start.append(lo)
-                    content.append(_digest(part)[0])
-                    words.append(part.tobytes())
-            if doc:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(K.signed(np.array(anchor, np.uint64))), pa.array(start, pa.int32()), pa.array(content, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "anchor", "start", "content", "words"])
+            mine = listed.slice(a, b - a)
+            want = mine.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(b - a), np.diff(mine.offsets.to_numpy()))
+            n = np.diff(first)
+            start = np.maximum(0, pos - (length - GRAM))
+            here = start if words else pos
+            hot = np.isin(row * (1 << 40) + here, owner * (1 << 40) + want)
+            g, row, start, pos = g[hot], row[hot], start[hot], pos[hot]
+            stop = np.minimum(n[row], pos + length)
+            lo, hi = first[row] + start, first[row] + stop
+            w, offset, content = _contents(h, lo, hi)
+            out = [batch.column(0).take(pa.array(row + a)), pa.array(K.signed(g)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content)]
+            names = ["doc_id", "anchor", "start", "stop", "content"]
+            if words:
+                w = np.ascontiguousarray(w)
+                out.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((offset * 8).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())]))
+                names.append("words")
+            yield pa.RecordBatch.from_arrays(out, names)
 
 
 class Automaton:
@@ -230,25 +261,25 @@ def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"content": pdf["content"], "holders": [machine.holders(t, length) for t in texts]})
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_removed and kept_sha256 from text and the starts of runs to remove."""
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, number of removed words and digest of the kept ones, from text and places."""
     for batch in batches:
-        ids, n, sha = batch.column(0), [], []
-        for text, starts in zip(batch.column(1), batch.column(2)):
+        n, sha = [], []
+        for text, spans in zip(batch.column(1), batch.column(2)):
             words = (text.as_py() or "").encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            at = np.unique(starts.values.to_numpy())
-            gone[at] += 1
-            np.add.at(gone, np.minimum(at + length, len(words)), -1)
+            np.add.at(gone, spans.values.field(0).to_numpy(), 1)
+            np.add.at(gone, spans.values.field(1).to_numpy(), -1)
             keep = np.cumsum(gone)[:-1] == 0
             n.append(int(len(words) - keep.sum()))
             sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k)).hexdigest())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["rep", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["rep", "removed", "kept"])
 
 
-def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(overview, runs): overview of every row with rep, the least id of its word sequence;
-    runs(rep, starts) the word positions in rep's text at which a run to remove starts."""
+def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overview, runs, near): overview of every row with rep, the least id of its word sequence;
+    runs(rep, spans): the word ranges (start, stop) of rep's text to remove; near(rep, text): the texts
+    with repeats."""
     d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
     seen = stash(d.mapInArrow(_overview, "doc_id long, n_words long, d1 long, d2 long, sha string"), "overview")
     reps = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -263,20 +294,29 @@ def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -
     spots = stash(found.groupBy("class").agg(F.collect_set("pos").alias("places")), "places")
     spots = stash(spots.join(reps.withColumnRenamed("d1", "class"), "class").select(F.col("rep").alias("doc_id"), "places"), "rep-places")
 
-    near = d.join(spots, "doc_id").select("doc_id", "text", "places")
-    part = stash(near.mapInArrow(lambda it: _stretches(it, length), "doc_id long, anchor long, start int, content long, words binary"), "stretches")
-    content = stash(part.groupBy("anchor", "content").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "contents")
-    crowded = content.groupBy("anchor").agg((F.count(F.lit(1)) / STRETCHES + 1).cast("long").alias("ways")).where("ways > 1")
-    shards = content.join(crowded, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
-    total = content.count()
-    n = max(8, -(-total // STRETCHES))
-    dealt = shards.where("ways = 1").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n)))
-    many = shards.where("ways > 1").mapInArrow(lambda it: _deal(it, length, n), "anchor long, content long, least long, words binary, shard long")
-    dealt = dealt.select("anchor", "content", "least", "words", "shard").unionByName(many)
-    held = dealt.groupBy("shard").applyInPandas(lambda pdf: _match(pdf, length), "content long, holders array<long>")
+    near = stash(d.join(spots, "doc_id").select("doc_id", "text", "places"), "near")
+    part = stash(near.mapInArrow(lambda it: _stretches(it, length, False), "doc_id long, anchor long, start int, stop int, content long"), "stretches")
+    content = part.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    content = stash(content.select("anchor", "content", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start")), "contents")
+    per = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    # An anchor with one content everywhere: all its runs are held by the least id of that content.
+    alone = content.join(per.where("n = 1").select("anchor"), "anchor", "left_semi").select("content", F.col("least").alias("holder"))
+    several = content.join(per.where("n > 1"), "anchor").select("anchor", "content", "least", "start", (F.col("n") / STRETCHES + 1).cast("long").alias("ways"))
+    several = stash(several, "several")
+    wanted = several.groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
+    told = near.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda it: _stretches(it, length, True), "doc_id long, anchor long, start int, stop int, content long, words binary")
+    told = told.groupBy("anchor", "content").agg(F.first("words").alias("words"))
+    shards = several.join(told, ["anchor", "content"])
+    n = max(8, -(-several.count() // STRETCHES))
+    dealt = shards.where("ways = 1").select("anchor", "content", "least", "words", F.pmod(F.xxhash64("anchor"), F.lit(n)).alias("shard"))
+    many = shards.where("ways > 1").select("anchor", "content", "least", "words", "ways").mapInArrow(lambda it: _deal(it, length, n), "anchor long, content long, least long, words binary, shard long")
+    held = dealt.unionByName(many).groupBy("shard").applyInPandas(lambda pdf: _match(pdf, length), "content long, holders array<long>")
     held = stash(held, "holders").select("content", F.posexplode("holders").alias("j", "holder")).groupBy("content", "j").agg(F.min("holder").alias("holder"))
+    one = part.join(alone, "content").where("holder < doc_id").select("doc_id", "start", "stop")
     runs = part.select("doc_id", "start", "content").join(held.where(f"holder < {_LAST}"), "content").where("holder < doc_id")
-    return seen.join(reps, ["d1", "d2"], "left"), runs.groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set(F.col("start") + F.col("j")).alias("starts"))
+    runs = runs.select("doc_id", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + length).alias("stop"))
+    found = one.unionByName(runs).groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return seen.join(reps, ["d1", "d2"], "left"), found, near.select(F.col("doc_id").alias("rep"), "text")
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.RecordBatch]:
@@ -295,9 +335,8 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    seen, runs = substring_spans(docs, length)
-    d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rep"), "text")
-    cut = d.join(runs, "rep").select("rep", "text", "starts").mapInArrow(lambda it: _removed(it, length), "rep long, removed long, kept string")
+    seen, runs, near = substring_spans(docs, length)
+    cut = near.join(runs, "rep").select("rep", "text", "spans").mapInArrow(lambda it: _removed(it), "rep long, removed long, kept string")
     cut = cut.groupBy("rep").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
     copy = F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))
     out = seen.join(cut, "rep", "left")
