@@ -261,25 +261,25 @@ def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"content": pdf["content"], "holders": [machine.holders(t, length) for t in texts]})
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """rep, number of removed words and digest of the kept ones, from text and places."""
     for batch in batches:
         n, sha = [], []
-        for text, spans in zip(batch.column(1), batch.column(2)):
+        for text, starts in zip(batch.column(1), batch.column(2)):
             words = (text.as_py() or "").encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            np.add.at(gone, spans.values.field(0).to_numpy(), 1)
-            np.add.at(gone, spans.values.field(1).to_numpy(), -1)
+            at = np.unique(starts.values.to_numpy())
+            gone[at] += 1
+            gone[at + length] -= 1
             keep = np.cumsum(gone)[:-1] == 0
             n.append(int(len(words) - keep.sum()))
             sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["rep", "removed", "kept"])
 
 
-def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(overview, runs, near): overview of every row with rep, the least id of its word sequence;
-    runs(rep, spans): the word ranges (start, stop) of rep's text to remove; near(rep, text): the texts
-    with repeats."""
+def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(overview, runs): overview of every row with rep, the least id of its word sequence;
+    runs(rep, starts): the words of rep's text at which a run to remove starts."""
     d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
     seen = stash(d.mapInArrow(_overview, "doc_id long, n_words long, d1 long, d2 long, sha string"), "overview")
     reps = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -294,7 +294,7 @@ def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -
     spots = stash(found.groupBy("class").agg(F.collect_set("pos").alias("places")), "places")
     spots = stash(spots.join(reps.withColumnRenamed("d1", "class"), "class").select(F.col("rep").alias("doc_id"), "places"), "rep-places")
 
-    near = stash(d.join(spots, "doc_id").select("doc_id", "text", "places"), "near")
+    near = d.join(spots, "doc_id").select("doc_id", "text", "places")
     part = stash(near.mapInArrow(lambda it: _stretches(it, length, False), "doc_id long, anchor long, start int, stop int, content long"), "stretches")
     content = part.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     content = stash(content.select("anchor", "content", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start")), "contents")
@@ -304,19 +304,22 @@ def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -
     several = content.join(per.where("n > 1"), "anchor").select("anchor", "content", "least", "start", (F.col("n") / STRETCHES + 1).cast("long").alias("ways"))
     several = stash(several, "several")
     wanted = several.groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
-    told = near.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda it: _stretches(it, length, True), "doc_id long, anchor long, start int, stop int, content long, words binary")
+    told = d.join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda it: _stretches(it, length, True), "doc_id long, anchor long, start int, stop int, content long, words binary")
     told = told.groupBy("anchor", "content").agg(F.first("words").alias("words"))
     shards = several.join(told, ["anchor", "content"])
     n = max(8, -(-several.count() // STRETCHES))
     dealt = shards.where("ways = 1").select("anchor", "content", "least", "words", F.pmod(F.xxhash64("anchor"), F.lit(n)).alias("shard"))
     many = shards.where("ways > 1").select("anchor", "content", "least", "words", "ways").mapInArrow(lambda it: _deal(it, length, n), "anchor long, content long, least long, words binary, shard long")
     held = dealt.unionByName(many).groupBy("shard").applyInPandas(lambda pdf: _match(pdf, length), "content long, holders array<long>")
-    held = stash(held, "holders").select("content", F.posexplode("holders").alias("j", "holder")).groupBy("content", "j").agg(F.min("holder").alias("holder"))
-    one = part.join(alone, "content").where("holder < doc_id").select("doc_id", "start", "stop")
-    runs = part.select("doc_id", "start", "content").join(held.where(f"holder < {_LAST}"), "content").where("holder < doc_id")
-    runs = runs.select("doc_id", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + length).alias("stop"))
-    found = one.unionByName(runs).groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return seen.join(reps, ["d1", "d2"], "left"), found, near.select(F.col("doc_id").alias("rep"), "text")
+    # A content dealt to several sub-shards, at most one for each of its runs, keeps the least holder of each run.
+    held = stash(held, "holders").groupBy("content").agg(F.collect_list("holders").alias("xs"))
+    held = held.select("content", F.expr("reduce(xs, xs[0], (a, b) -> zip_with(a, b, (p, q) -> least(p, q)))").alias("holders"))
+    known = held.withColumn("holder", F.lit(None).cast("long")).unionByName(alone.withColumn("holders", F.lit(None).cast("array<long>")))
+    some = F.expr("filter(transform(holders, (h, j) -> if(h < doc_id, start + j, null)), x -> x is not null)")
+    every = F.when(F.col("holder") < F.col("doc_id"), F.sequence("start", F.col("stop") - length)).otherwise(F.array().cast("array<int>"))
+    runs = part.select("doc_id", "start", "stop", "content").join(known, "content").select(F.col("doc_id").alias("rep"), F.coalesce(some, every).alias("own"))
+    found = runs.where("size(own) > 0").groupBy("rep").agg(F.flatten(F.collect_list("own")).alias("starts"))
+    return seen.join(reps, ["d1", "d2"], "left"), found
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.RecordBatch]:
@@ -335,8 +338,9 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    seen, runs, near = substring_spans(docs, length)
-    cut = near.join(runs, "rep").select("rep", "text", "spans").mapInArrow(lambda it: _removed(it), "rep long, removed long, kept string")
+    seen, runs = substring_spans(docs, length)
+    d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rep"), "text")
+    cut = d.join(runs, "rep").select("rep", "text", "starts").mapInArrow(lambda it: _removed(it, length), "rep long, removed long, kept string")
     cut = cut.groupBy("rep").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
     copy = F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))
     out = seen.join(cut, "rep", "left")
