@@ -43,7 +43,7 @@ def snk_02_10_bundle(spark, d):
 @query("SELECT user_id AS run_id, count(*) AS n FROM events WHERE user_id < 50 GROUP BY user_id")
 def snk_07_08_src_08_append_log(spark, d):
     path = folders.scratch(spark, "log")
-    e = table(spark, d, "events").where("user_id < 50").select(F.col("user_id").alias("run_id"), "event_id")
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id")
     sinks.append_json(e.where("event_id % 2 = 0"), path)
     sinks.append_json(e.where("event_id % 2 = 1"), path)
     return folders.read_jsonl_if_exists(spark, path, "run_id long, event_id long").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))

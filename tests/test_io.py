@@ -72,3 +72,12 @@ def test_windowed_timeline(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from tl").collect()[0][0] == e.count()
+
+
+def test_append_log_holds_all_events(spark):
+    from docflow import queries_io
+
+    got = queries_io.snk_07_08_src_08_append_log(spark, "/root/testdata/sf0.01").collect()
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    assert {(r.run_id, r.n) for r in got} == {(r.user_id, r["count"]) for r in e.groupBy("user_id").count().collect()}
+    assert sum(r.n for r in got) == e.count() > e.where("user_id < 50").count()
