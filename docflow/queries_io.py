@@ -56,12 +56,15 @@ def src_09_missing_log(spark, d):
 
 @query(f"SELECT 'd=' || doc_id % 50 || '/' AS folder, count(*) AS blocks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE {sql_trim('line')} <> '' GROUP BY doc_id % 50")
 def src_02_03_04_import_folder(spark, d):
-    """Fifty text files that hold all documents, imported to blocks."""
+    """Text files in fifty folders that hold all documents, imported to blocks.
+
+    Files are bounded by documents and have no size limit; one that can't be read as text is an error.
+    """
     path = folders.scratch(spark, "import")
     docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("d"), F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n")).alias("value"))
-    docs.repartition("d").write.partitionBy("d").text(path)
-    files = folders.decoded(folders.list_folder(spark, path))
-    blocks, _ = folders.import_documents(files)
+    docs.repartition("d").write.partitionBy("d").option("maxRecordsPerFile", 200).text(path)
+    files = folders.decoded(folders.list_folder(spark, path, max_files=None), max_bytes=None)
+    blocks, _ = folders.import_documents(folders.all_accepted(files))
     return blocks.groupBy(F.regexp_extract("relative_path", "^(d=[0-9]+/)", 1).alias("folder")).agg(F.count(F.lit(1)).alias("blocks"))
 
 

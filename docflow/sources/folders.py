@@ -48,16 +48,32 @@ def list_folder(spark: SparkSession, root: str, max_files: int | None = MAX_FOLD
     return out
 
 
-def decoded(files: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """files with text and error (null if good): over-long, not UTF-8, or blank files are errors."""
+def decoded(files: DataFrame, max_bytes: int | None = MAX_TEXT_BYTES) -> DataFrame:
+    """files with text and error (null if good): over-long, not UTF-8, or blank files are errors.
+
+    Without max_bytes no file is over-long.
+    """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    error = F.when(F.col("length") > max_bytes, "too large").when(text.isNull(), "not UTF-8").when(T.is_blank(text), "blank")
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    error = F.when(large, "too large").when(text.isNull(), "not UTF-8").when(T.is_blank(text), "blank")
     return files.select("relative_path", "format", F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
+def rejected(files: DataFrame) -> DataFrame:
+    """relative_path, format, error of the decoded files that import_documents leaves out."""
+    return files.where("error is not null").select("relative_path", "format", "error")
+
+
+def all_accepted(files: DataFrame) -> DataFrame:
+    """The decoded files; reading one that was rejected, other than for being blank, is an error."""
+    failure = F.raise_error(F.concat_ws(": ", "relative_path", "error")).cast("string")
+    return files.withColumn("text", F.when(F.coalesce(F.col("error"), F.lit("blank")) != "blank", failure).otherwise(F.col("text")))
+
+
 def import_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, segments) of good files(relative_path, format, text), numbered within a file.
 
+    Other files are left out; ``rejected`` lists them, ``all_accepted`` makes them an error.
     file_id is the path's rank among the imported paths.
     """
     good = files.where("text is not null")

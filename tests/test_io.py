@@ -81,3 +81,22 @@ def test_append_log_holds_all_events(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     assert {(r.run_id, r.n) for r in got} == {(r.user_id, r["count"]) for r in e.groupBy("user_id").count().collect()}
     assert sum(r.n for r in got) == e.count() > e.where("user_id < 50").count()
+
+
+def test_import_folder_holds_large_documents(spark, tmp_path):
+    from docflow import queries_io
+
+    docs = spark.createDataFrame([(1, "a\nb"), (51, "c\n" + "x" * (folders.MAX_TEXT_BYTES + 1)), (2, " ")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries_io.src_02_03_04_import_folder(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("d=1/", 4)]
+
+
+def test_rejected_files_are_listed(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("One.")
+    (tmp_path / "b.txt").write_text("Two is longer.")
+    (tmp_path / "e.txt").write_text(" ")
+    files = folders.decoded(folders.list_folder(spark, str(tmp_path)), max_bytes=8)
+    assert sorted((r.relative_path, r.error) for r in folders.rejected(files).collect()) == [("b.txt", "too large"), ("e.txt", "blank")]
+    with pytest.raises(Exception, match="b.txt: too large"):
+        folders.import_documents(folders.all_accepted(files))[0].collect()
