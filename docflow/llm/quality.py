@@ -10,8 +10,9 @@ leaves only words that many poor or toxic sample documents share.
 The expected grade and the tail probability P(grade = 2) select documents.
 
 The model is fitted on at most ``sample`` labelled rows, the least in the order of a hash
-of the id; hashes are kept as features if at least ``min_df`` sample documents hold them and
-the penalty lets them leave zero, at most ``max_features``.  So the model that is broadcast has a fixed size bound
+of the id; 64-bit hashes are kept as features if at least ``min_df`` sample documents hold them and
+the penalty lets them leave zero, at most ``max_features``.  They are counted by grade on the
+executors, and the driver gathers only the chosen ones of each sample document.  So the model that is broadcast has a fixed size bound
 (about 1 MB).  Every document is scored over its whole text in one map pass.
 
 Null or empty text has score 0.  Labels whose quality and toxic are both null, and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import table
+from .common import stash, table
 
 GRADES = 3
 #: Share features are scaled to the weight of a few words.
@@ -41,17 +42,12 @@ PREFIXES = (4, 5, 6)
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted 32-bit hashes
+    words: np.ndarray  # sorted hashes
     weights: np.ndarray  # of the words
     endings: np.ndarray  # 65536 weights
     thresholds: np.ndarray  # ascending, GRADES - 1
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The 32 leading bits, which stand for a feature: halves what the driver gathers."""
-    return (h >> K.U64(32)).astype(np.uint32)
-
-
 def _hashes(block: np.ndarray, row: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature hash) of the words, then of their prefixes of each length."""
     yield row, h
@@ -80,29 +76,45 @@ def _parts(column) -> Iterator[tuple]:
         yield a, b - a, row, (list(_hashes(block, row, h, start, end)) if len(h) else []), kind
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(n: int, hashes: list) -> list[np.ndarray]:
+    """The distinct feature hashes of each row, ascending."""
+    if not hashes:
+        return [np.zeros(0, np.uint64)] * n
+    return [np.unique(np.concatenate([h[slice(*np.searchsorted(r, [i, i + 1]))] for r, h in hashes])) for i in range(n)]
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grade and feature, once for each row that holds the feature."""
+    for batch in batches:
+        grades = batch.column(0).to_numpy()
+        for a, n, _, hashes, _ in _parts(batch.column(1)):
+            own = _sets(n, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(grades[a : a + n], [len(x) for x in own])), pa.array(K.signed(np.concatenate(own)))], ["grade", "word"])
+
+
+def _features(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """grade, chosen features, endings and their shares of each row."""
+    chosen = shared.value
     for batch in batches:
         for a, n, row, hashes, kind in _parts(batch.column(1)):
             at = np.searchsorted(row, np.arange(n + 1))
-            for i in range(n):
-                own = [h[slice(*np.searchsorted(r, [i, i + 1]))] for r, h in hashes]
+            for i, own in enumerate(_sets(n, hashes)):
                 e, c = np.unique(kind[at[i] : at[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + i, 1), pa.array([np.unique(_short(np.concatenate(own))).tobytes() if own else b""], pa.binary()), pa.array([e.astype(np.int32).tobytes()], pa.binary()), pa.array([(c / max(1, at[i + 1] - at[i])).astype(np.float32).tobytes()], pa.binary())], ["grade", "words", "endings", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + i, 1), pa.array([own[np.isin(own, chosen)].tobytes()], pa.binary()), pa.array([e.astype(np.int32).tobytes()], pa.binary()), pa.array([(c / max(1, at[i + 1] - at[i])).astype(np.float32).tobytes()], pa.binary())], ["grade", "words", "endings", "shares"])
 
 
 def grade(quality="quality", toxic="toxic"):
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 1e-3, l2: float = 1e-5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 1e-3, l2: float = 1e-5) -> Model | None:
     rated = labels.select("doc_id", grade().alias("grade")).where("grade is not null and doc_id is not null")
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long"), "text")
-    got = rows.mapInArrow(_features, "grade long, words binary, endings binary, shares binary").collect()
-    got = sorted(map(tuple, got))
-    y = np.array([g[0] for g in got], dtype=np.int64)
-    if len(np.unique(y)) < 2:
+    rows = stash(docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long"), "text"), "sample")
+    share = dict(rows.groupBy("grade").count().collect())
+    if len(share) < 2:
         return None
+    y = np.repeat(np.arange(GRADES), [share.get(g, 0) for g in range(GRADES)])
     n = len(y)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     upto = np.clip(np.array([(y <= 0).mean(), (y <= 1).mean()]), 1e-3, 1 - 1e-3)
@@ -121,17 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_df: int = 3,
 
     # A word enters if it speaks against text strongly enough to leave zero under the penalty.
     first, _ = slopes(np.zeros(n), t)
-    sets = [np.frombuffer(g[1], np.uint32) for g in got]
-    seen, at = np.unique(np.concatenate(sets), return_inverse=True)
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
-    df, pull = np.bincount(at, minlength=len(seen)), np.bincount(at, first[doc], len(seen))
-    chosen = np.flatnonzero((pull > l1) & (df >= min_df))
-    chosen = np.sort(chosen[np.argsort(-pull[chosen], kind="stable")[:max_features]])
-    column = np.full(len(seen), -1)
-    column[chosen] = np.arange(len(chosen))
-    c = column[at]
-    r, c, words = doc[c >= 0], c[c >= 0], seen[chosen]
-    del sets, seen, at, doc, column, df, pull
+    speaks = [float(first[y == g][0]) if g in share else 0.0 for g in range(GRADES)]
+    counts = rows.mapInArrow(_occurrences, "grade long, word long").groupBy("word").agg(*[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)])
+    pull = sum((F.col(f"n{g}") * F.lit(x) for g, x in enumerate(speaks)), F.lit(0.0))
+    strong = counts.select("word", (F.col("n0") + F.col("n1") + F.col("n2")).alias("df"), pull.alias("pull")).where((F.col("pull") > l1) & (F.col("df") >= min_df))
+    best = strong.orderBy(F.desc("pull"), F.col("word") < 0, "word").limit(max_features).select("word").collect()
+    words = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    got = rows.mapInArrow(lambda it: _features(it, shared), "grade long, words binary, endings binary, shares binary").collect()
+    got = sorted(map(tuple, got))  # in the order of y
+    sets = [np.frombuffer(g[1], np.uint64) for g in got]
+    r, c = np.repeat(np.arange(n), [len(x) for x in sets]), np.searchsorted(words, np.concatenate(sets))
     ends = [np.frombuffer(g[2], np.int32) for g in got]
     r2 = np.repeat(np.arange(n), [len(e) for e in ends])
     c2, v2 = np.concatenate(ends), np.concatenate([np.frombuffer(g[3], np.float32) for g in got]) * ENDING
@@ -157,17 +169,16 @@ def _score(batches: Iterator[pa.RecordBatch], shared, floor: float) -> Iterator[
     m = shared.value
     size = max(1, len(m.words))
     bits = np.zeros(1 << 16, dtype=bool)
-    bits[m.words >> np.uint32(16)] = True
+    bits[(m.words >> K.U64(48)).astype(np.int64)] = True
     for batch in batches:
         out = []
         for _, n, row, hashes, kind in _parts(batch.column(1)):
             pairs = [np.zeros(0, np.int64)]
             for r, h in hashes if len(m.words) else []:
                 near = np.flatnonzero(bits[(h >> K.U64(48)).astype(np.int64)])
-                own = _short(h[near])
-                at = np.searchsorted(m.words, own)
+                at = np.searchsorted(m.words, h[near])
                 at[at == size] = 0
-                hit = m.words[at] == own
+                hit = m.words[at] == h[near]
                 pairs.append(r[near[hit]] * size + at[hit])
             pair = np.unique(np.concatenate(pairs))
             s = np.bincount(pair // size, m.weights[pair % size] if len(pair) else None, n).astype(float)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,22 @@ def test_quality_odd_inputs(spark, docs):
     out = quality.select_quality(docs.withColumn("keep", F.lit(1)), labels)
     assert "keep" in out.columns
     assert quality.scored(docs, quality.fit(docs, labels), ["doc_id"]).count() == docs.count()
+
+
+def test_quality_whole_hashes(spark):
+    docs = spark.createDataFrame([(1, "nothing against this"), (2, "one badword here")], "doc_id long, text string")
+    h = next(iter(quality._parts(pa.array(["badword"]))))[3][0][1]
+    for words, p in ((h, 0.27), (h ^ np.uint64(1), 0.88)):  # a hash that differs in its last bit is another word
+        got = {r.doc_id: r.p_good for r in quality.scored(docs, quality.Model(words, np.array([-3.0]), np.zeros(1 << 16), np.array([-3.0, -2.0])), ["doc_id"]).collect()}
+        assert abs(got[1] - 0.88) < 0.01 and abs(got[2] - p) < 0.01
+
+
+def test_quality_samples_5000(spark):
+    docs = spark.range(5200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "fine text").otherwise("awful text").alias("text"))
+    labels = docs.select("doc_id", ((F.col("doc_id") + 1) % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    used = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(5000).groupBy("quality").count().collect()
+    model, same = quality.fit(docs, labels), quality.fit(docs, labels, sample=5000)
+    assert sum(r["count"] for r in used) == 5000 and all(np.array_equal(a, b) for a, b in zip(model, same))
+    awful = next(iter(quality._parts(pa.array(["awful"]))))[3]
+    fine = next(iter(quality._parts(pa.array(["fine text"]))))[3]
+    assert set(model.words) == {x for _, h in awful for x in h.tolist()} and not set(model.words) & {x for _, h in fine for x in h.tolist()}
