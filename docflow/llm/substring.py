@@ -22,7 +22,8 @@ maximal spans and removed.  Broadcasting every automaton to every task would gro
 the corpus, so shards meet their documents by a shuffle instead.
 
 Null text has no words.  A null id comes after all ids: its runs are removed where
-any document holds them, and it removes nothing.  Rows that repeat an id with the same text are
+any document with an id holds them, and it removes nothing.  Texts are told apart by their word
+sequence (two 64-bit digests) and not by id, so several null ids, or an id with several texts, don't mix.  Rows that repeat an id with the same text are
 judged alike; windows are judged on the input.  An empty table gives an empty result.
 """
 
@@ -53,7 +54,7 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_words, d1, d2 (of the word sequence), kept_sha256 of the whole text."""
+    """doc_id, t1, t2, n_words, d1, d2 (of the word sequence), kept_sha256 of the whole text."""
     for batch in batches:
         raw, off = K.utf8(batch.column(1))
         view = memoryview(raw)
@@ -66,7 +67,7 @@ def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 d1.append(x)
                 d2.append(y)
                 sha.append(hashlib.sha256(b" ".join(bytes(view[off[a + i] : off[a + i + 1]]).split())).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "d1", "d2", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "t1", "t2", "n_words", "d1", "d2", "sha"])
 
 
 def _over(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -157,14 +158,14 @@ def _contents(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, anchor, start and content hash of the runs around a document's listed anchors.
+    """key, doc_id, anchor, start and content hash of the runs around a document's listed anchors.
 
-    Column 2 lists the anchors' positions, or with words the starts of the stretches; then the
+    Columns are doc_id, text, key, places; the last lists the anchors' positions, or with words the starts of the stretches; then the
     word hashes come too.
     """
     for batch in batches:
         raw, off = K.utf8(batch.column(1))
-        listed = batch.column(2)
+        listed = batch.column(3)
         for a, b in K.slices(off):
             h, first = K.words(raw, off[a : b + 1], False)
             g, row, pos = anchors(h, first, length)
@@ -179,8 +180,9 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> I
             stop = np.minimum(n[row], pos + length)
             lo, hi = first[row] + start, first[row] + stop
             w, offset, content = _contents(h, lo, hi)
-            out = [batch.column(0).take(pa.array(row + a)), pa.array(K.signed(g)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content)]
-            names = ["doc_id", "anchor", "start", "stop", "content"]
+            at = pa.array(row + a)
+            out = [batch.column(2).take(at), batch.column(0).take(at), pa.array(K.signed(g)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content)]
+            names = ["key", "doc_id", "anchor", "start", "stop", "content"]
             if words:
                 w = np.ascontiguousarray(w)
                 out.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((offset * 8).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())]))
@@ -262,7 +264,7 @@ def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """rep, number of removed words and digest of the kept ones, from text and places."""
+    """key, number of removed words and digest of the kept ones, from text and places."""
     for batch in batches:
         n, sha = [], []
         for text, starts in zip(batch.column(1), batch.column(2)):
@@ -274,15 +276,22 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             keep = np.cumsum(gone)[:-1] == 0
             n.append(int(len(words) - keep.sum()))
             sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["rep", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["key", "removed", "kept"])
 
 
-def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(overview, runs): overview of every row with rep, the least id of its word sequence;
-    runs(rep, starts): the words of rep's text at which a run to remove starts."""
-    d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    seen = stash(d.mapInArrow(_overview, "doc_id long, n_words long, d1 long, d2 long, sha string"), "overview")
-    reps = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id (null last), text, t1, t2: the hashes tell apart the texts of one id."""
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+
+
+def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overview, reps, runs): overview of every row with key, of its word sequence, and rep, the least id of it;
+    reps(doc_id, t1, t2, key): a text of each key under its least id;
+    runs(key, starts): the words of the key's text at which a run to remove starts."""
+    d = _texts(docs)
+    seen = stash(d.mapInArrow(_overview, "doc_id long, t1 long, t2 long, n_words long, d1 long, d2 long, sha string"), "overview")
+    least = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("at"))
+    reps = stash(least.select("d1", "d2", "at.*", F.monotonically_increasing_id().alias("key")), "reps")
 
     sample = d.orderBy(F.xxhash64("doc_id")).limit(heavy_docs).select("text").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, class long, pos int")
     heavy = sample.groupBy("anchor").agg(F.count_distinct("class").alias("c")).where(f"c > {max(1, heavy_docs // 100)}").select("anchor").collect()
@@ -292,19 +301,19 @@ def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -
     found = rows.where(~often).repartition("anchor").sortWithinPartitions("anchor", "class", "pos").mapInArrow(_repeated, "anchor long, class long, pos int")
     found = found.unionByName(rows.where(often)) if heavy else found
     spots = stash(found.groupBy("class").agg(F.collect_set("pos").alias("places")), "places")
-    spots = stash(spots.join(reps.withColumnRenamed("d1", "class"), "class").select(F.col("rep").alias("doc_id"), "places"), "rep-places")
+    spots = stash(spots.join(reps.withColumnRenamed("d1", "class"), "class").select("doc_id", "t1", "t2", "key", "places"), "rep-places")
 
-    near = d.join(spots, "doc_id").select("doc_id", "text", "places")
-    part = stash(near.mapInArrow(lambda it: _stretches(it, length, False), "doc_id long, anchor long, start int, stop int, content long"), "stretches")
-    content = part.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    content = stash(content.select("anchor", "content", F.col("at.doc_id").alias("least"), F.col("at.start").alias("start")), "contents")
+    near = d.join(spots, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "places")
+    part = stash(near.mapInArrow(lambda it: _stretches(it, length, False), "key long, doc_id long, anchor long, start int, stop int, content long"), "stretches")
+    content = part.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("at"))
+    content = stash(content.select("anchor", "content", F.col("at.doc_id").alias("least"), F.col("at.key").alias("key"), F.col("at.start").alias("start")), "contents")
     per = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     # An anchor with one content everywhere: all its runs are held by the least id of that content.
     alone = content.join(per.where("n = 1").select("anchor"), "anchor", "left_semi").select("content", F.col("least").alias("holder"))
-    several = content.join(per.where("n > 1"), "anchor").select("anchor", "content", "least", "start", (F.col("n") / STRETCHES + 1).cast("long").alias("ways"))
+    several = content.join(per.where("n > 1"), "anchor").select("anchor", "content", "least", "key", "start", (F.col("n") / STRETCHES + 1).cast("long").alias("ways"))
     several = stash(several, "several")
-    wanted = several.groupBy(F.col("least").alias("doc_id")).agg(F.collect_set("start").alias("starts"))
-    told = d.join(wanted, "doc_id").select("doc_id", "text", "starts").mapInArrow(lambda it: _stretches(it, length, True), "doc_id long, anchor long, start int, stop int, content long, words binary")
+    wanted = several.groupBy("key").agg(F.collect_set("start").alias("starts")).join(reps, "key")
+    told = d.join(wanted, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "starts").mapInArrow(lambda it: _stretches(it, length, True), "key long, doc_id long, anchor long, start int, stop int, content long, words binary")
     told = told.groupBy("anchor", "content").agg(F.first("words").alias("words"))
     shards = several.join(told, ["anchor", "content"])
     n = max(8, -(-several.count() // STRETCHES))
@@ -317,9 +326,11 @@ def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -
     known = held.withColumn("holder", F.lit(None).cast("long")).unionByName(alone.withColumn("holders", F.lit(None).cast("array<long>")))
     some = F.expr("filter(transform(holders, (h, j) -> if(h < doc_id, start + j, null)), x -> x is not null)")
     every = F.when(F.col("holder") < F.col("doc_id"), F.sequence("start", F.col("stop") - length)).otherwise(F.array().cast("array<int>"))
-    runs = part.select("doc_id", "start", "stop", "content").join(known, "content").select(F.col("doc_id").alias("rep"), F.coalesce(some, every).alias("own"))
-    found = runs.where("size(own) > 0").groupBy("rep").agg(F.flatten(F.collect_list("own")).alias("starts"))
-    return seen.join(reps, ["d1", "d2"], "left"), found
+    runs = part.select("key", "doc_id", "start", "stop", "content").join(known, "content").select("key", F.coalesce(some, every).alias("own"))
+    # A set, as rows that repeat an id with its text repeat the runs.
+    found = runs.where("size(own) > 0").groupBy("key").agg(F.flatten(F.collect_set("own")).alias("starts"))
+    overview = seen.drop("t1", "t2").join(reps.select("d1", "d2", "key", F.col("doc_id").alias("rep")), ["d1", "d2"], "left")
+    return overview, reps.select("doc_id", "t1", "t2", "key"), found
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.RecordBatch]:
@@ -338,12 +349,11 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    seen, runs = substring_spans(docs, length)
-    d = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rep"), "text")
-    cut = d.join(runs, "rep").select("rep", "text", "starts").mapInArrow(lambda it: _removed(it, length), "rep long, removed long, kept string")
-    cut = cut.groupBy("rep").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
+    seen, reps, runs = substring_spans(docs, length)
+    cut = _texts(docs).join(runs.join(reps, "key"), ["doc_id", "t1", "t2"]).select("key", "text", "starts").mapInArrow(lambda it: _removed(it, length), "key long, removed long, kept string")
+    cut = cut.groupBy("key").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
     copy = F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))
-    out = seen.join(cut, "rep", "left")
+    out = seen.join(cut, "key", "left")
     return out.select(
         F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"),
         "n_words",

@@ -123,6 +123,20 @@ def test_substrings_brute(spark, docs, stretches, monkeypatch):
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_shared_ids(spark):
+    """Several null ids, and an id with several texts, of different lengths."""
+    rng = random.Random(5)
+    w = [f"w{i}" for i in range(300)]
+    shared = [w[i * 30 : i * 30 + 30] for i in range(4)]
+    own = lambda n: [rng.choice(w) + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = [(1, shared[0] + own(40)), (2, own(200) + shared[1]), (None, shared[0]), (None, own(150) + shared[1] + own(5)), (None, own(20) + shared[2]), (None, shared[2] + own(90) + shared[0])]
+    rows += [(7, own(5) + shared[3] + own(3)), (7, own(120) + shared[0] + shared[3]), (9, shared[3] + own(30)), (None, own(60)), (3, own(14))]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows += [rows[2], rows[3], (None, rows[5][1].replace(" ", "  ")), rows[7], (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring.dedup_substrings(docs).collect()), key=str) == brute_substrings(rows)
+
+
 def test_automaton_against_brute():
     rng = random.Random(2)
     texts = [[rng.randrange(3) for _ in range(rng.randint(0, 30))] for _ in range(12)]
