@@ -72,5 +72,9 @@ def micro_batches(stream: DataFrame, key: str, size: int, wait_ms: int) -> DataF
 
 
 def windowed_timeline(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Extension: event-time windows with a watermark over (ts, event_type, value)."""
+    """Extension: event-time windows with a watermark over (ts, event_type, value).
+
+    A zoneless ts is read in the session's time zone, as a watermark needs an instant.
+    """
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

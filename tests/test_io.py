@@ -64,14 +64,15 @@ def test_micro_batches_close_by_size(spark, tmp_path):
     assert sorted(r["items"] for r in rows) == [["i0", "i1", "i2"], ["i3", "i4", "i5"]] and {r.reason for r in rows} == {"size"}
 
 
-def test_windowed_timeline(spark, tmp_path):
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_windowed_timeline(spark, tmp_path, kind):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr(f"cast(ts as {kind}) ts", "event_type", "value")
     e.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = pages.windowed_timeline(stream).writeStream.format("memory").queryName("tl").outputMode("complete").start()
+    q = pages.windowed_timeline(stream).writeStream.format("memory").queryName(f"tl_{kind}").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.sql("select sum(n) from tl").collect()[0][0] == e.count()
+    assert spark.sql(f"select sum(n) from tl_{kind}").collect()[0][0] == e.count()
 
 
 def test_append_log_holds_all_events(spark):
