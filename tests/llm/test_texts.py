@@ -208,15 +208,47 @@ def test_token_counts_and_cache(spark, docs, tmp_path):
     assert tokens.count_tokens(docs.limit(0), cache).count() == 0
 
 
+def test_token_cache_serves_a_whole_table(spark, tmp_path, monkeypatch):
+    """A second run over the same table encodes nothing and gives the same counts."""
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cache = str(tmp_path / "cache")
+    monkeypatch.setattr(tokens, "SHARE", 100)
+    first = sorted(tokens.count_tokens(sf, cache).collect())
+    n = spark.read.parquet(cache).count()
+
+    def none_left(batches, path):
+        for batch in batches:
+            assert batch.num_rows == 0, "a miss"
+            yield pa.RecordBatch.from_pylist([], pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())]))
+
+    monkeypatch.setattr(tokens, "_encode", none_left)
+    assert sorted(tokens.count_tokens(sf, cache).collect()) == first and spark.read.parquet(cache).count() == n
+    monkeypatch.undo()
+    monkeypatch.setattr(tokens, "SHARE", 100)
+    many = sf.limit(1).crossJoin(spark.range(500)).unionByName(sf.withColumn("id", F.lit(0).cast("long"))).drop("id")
+    assert tokens.count_tokens(many, cache).count() == 500 + sf.count()
+
+
+def test_memo_keeps_within_bounds(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    c, whole = tokens.Counter(tokens.tokenizer_path()), None
+    texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(1, 60)]
+    whole = c.encode(texts)
+    assert [int(c.counts(pa.array([t]))[0]) for t in texts] == whole and c.counts(pa.array(texts)).tolist() == whole
+
+
 def test_piecewise_counts_equal_library():
     from tokenizers import Tokenizer
 
     t, c, rng = Tokenizer.from_file(tokens.tokenizer_path()), tokens.Counter(tokens.tokenizer_path()), random.Random(4)
     alphabet = ["a", "B", " ", "  ", "\n", "\t", " ", "'s", "1", "é", ".", "!!", "<|endoftext|>", "word", "　", "😀", "\r\n", "\x1c", "\x85"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
-    assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    alphabet = ["a", "Bc", " ", " ", "\n", "'s", "'", "1", "é", "ß.", ".", "!!", "-", "<|", "|>", "endoftext", "_", "×", "y:", "\x01", "«"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert c.counts(pa.array(texts)).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
     bpe = tokens.Counter(tokens.tokenizer_path("piece_bpe_32k.model"))
-    assert bpe.counts(["hello world"])[0] > 1
+    assert bpe.counts(pa.array(["hello world"]))[0] > 1
+    assert c.counts(pa.array([None, "", "a b"], pa.string())).tolist()[:2] == [0, 0] and c.counts(pa.array([], pa.string())).tolist() == []
 
 
 def test_quality_held_out(spark):
