@@ -30,6 +30,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(stashed: DataFrame) -> None:
+    """Delete the files of a stash that nothing reads any more."""
+    spark = stashed.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in stashed.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished plans: it acts on the driver's collector."""
+    spark._jvm.java.lang.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,50 +1,63 @@
-"""Operator 9: substring dedup by suffix automata of reference shards.
+"""Operator 9: substring dedup by broadcast suffix automata of reference shards.
 
 A word goes if a run of ``length`` consecutive words that covers it also stands in a
-document with a smaller id.  Three facts keep this from being all against all:
+document with a smaller id.  The reference is every stretch of words that may repeat;
+it is dealt to shards, each shard becomes a suffix automaton whose states know the least
+id of their occurrences, groups of automata of at most ``GROUP_BYTES`` are broadcast, and
+the documents' stretches stream through them: the matching statistics tell for each run
+whether an automaton holds it under a smaller id.  Such runs are joined into maximal spans
+and removed.
+
+What keeps this from being every document against every shard:
 
-* equal runs have equal minimisers (the least-hashed ``GRAM``-word gram of the run), so
-  a run can only repeat where its minimiser occurs in two different texts.  One shuffle
-  of minimisers sorted by value finds those; minimisers frequent in a bounded sample
-  are known to repeat and skip the shuffle;
 * documents with equal word sequences count once, under their least id; the others
   lose everything (or, below ``length`` words, nothing);
-* the stretches of words around a repeated minimiser are collapsed by content with their
-  least id before they form a reference shard; a minimiser with one content everywhere
-  needs no shard, and only the texts of least ids are asked for the words of the others.
-
-Shards are formed by minimiser, so a document visits only shards that can hold its runs; a
-frequent minimiser's stretches are dealt to sub-shards by the hash of their runs.  In its
-task each shard becomes a suffix automaton whose states know the least id of their
-occurrences; stretches stream through it, their matching statistics give for each
-run the least id that holds it, and runs held by a smaller id are joined into
-maximal spans and removed.  Broadcasting every automaton to every task would grow with
-the corpus, so shards meet their documents by a shuffle instead.
+* a run belongs to its anchor, the leftmost least-hashed ``GRAM``-word gram in it, so equal
+  runs have equal anchors, and a run can only repeat where its anchor stands in two different
+  texts.  Anchors travel packed by the ten thousand and sorted by value; what repeats
+  within a task is settled there, so a very common anchor sends one entry a task;
+* the stretch of an anchor is the words of the runs it owns.  Stretches are dealt to groups by
+  anchor and written by group, so a group's automata meet only that group's stretches and
+  all passes together read them once.  An anchor with more than ``HOT`` different
+  stretches is dealt run by run.
+
+An automaton that would pass ``PART_WORDS`` is cut into parts, and groups whose parts pass
+``GROUP_BYTES`` are broadcast in several rounds, so the bounds hold on any data.  Passes
+over groups follow one another: their number grows with the repeated text.
 
 Null text has no words.  A null id comes after all ids: its runs are removed where
 any document with an id holds them, and it removes nothing.  Texts are told apart by their word
-sequence (two 64-bit digests) and not by id, so several null ids, or an id with several texts, don't mix.  Rows that repeat an id with the same text are
-judged alike; windows are judged on the input.  An empty table gives an empty result.
+sequence (two 64-bit digests) and not by id, so several null ids, or an id with several texts,
+don't mix: each text of an id is judged by itself against smaller ids.  Rows that repeat an
+id with the same text are judged alike; windows are judged on the input.  Other columns are
+ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import stash, table
-
-GRAM = 4
-#: Stretches per sub-shard at most; bounds an automaton to about 22 times as many states.
-STRETCHES = 4096
+from .common import drop, fresh_path, release, stash, table
+
+GRAM = 7
+#: Anchors that a task packs at once, and that one bucket of the exchange holds on average.
+PACK, BUCKET = 1 << 20, 1 << 20
+#: Bytes of automata broadcast at once, and words of reference text in one automaton at most.
+GROUP_BYTES, PART_WORDS = 48 << 20, 1 << 16
+#: Stretches of the documents per group on average, and shards of a group.
+GROUP_STRETCHES, SHARDS = 480_000, 32
+#: Different stretches of an anchor above which its runs are dealt one by one.
+HOT = 4096
 _LAST = 2**63 - 1
+_KNOWN = 0xFFFFFFFF
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -70,209 +83,436 @@ def _overview(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "t1", "t2", "n_words", "d1", "d2", "sha"])
 
 
-def _over(x: np.ndarray, n: int, f) -> np.ndarray:
-    """f of each n consecutive values, by doubling."""
-    width = 1
-    while 2 * width <= n:
-        x = f(x[: len(x) - width], x[width:])
-        width *= 2
-    return f(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
+def owners(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor hash, anchor position, first and last run) of each anchor; positions count from h[0]."""
+    m = len(h) - length + 1
+    none = np.zeros(0, np.int64)
+    if m <= 0:
+        return none, np.zeros(0, np.uint64), none, np.zeros((0, 2), np.int64)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    run = np.flatnonzero(row[:m] == row[length - 1 :])
+    if not len(run):
+        return none, np.zeros(0, np.uint64), none, np.zeros((0, 2), np.int64)
+    g = K.windows(h, GRAM)
+    span, width = length - GRAM + 1, 1
+    at = np.arange(len(g))
+    while width < span:  # leftmost least position of each width by doubling
+        step = min(width, span - width)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(g[b] < g[a], b, a)
+        width += step
+    at = at[run]
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([new[1:], [len(at)]]) - 1
+    return row[at[new]], g[at[new]], at[new], np.stack([run[new], run[last]], 1)
 
 
-def anchors(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, row, word position in row) of the minimisers of the rows' runs.
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of the values, byte place by byte place, which compresses better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
-    A gram is one if it equals the minimum of a run that covers it; equal minima all count.
-    """
-    if len(h) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    g = K.windows(h, GRAM) | K.U64(1)
-    span = length - GRAM + 1
-    least = _over(g, span, np.minimum)
-    least[row[: len(least)] != row[length - 1 :]] = 0
-    pad = np.zeros(span - 1, np.uint64)
-    at = np.flatnonzero(_over(np.concatenate([pad, least, pad]), span, np.maximum) == g)
-    return g[at], row[at], at - first[row[at]]
 
+PACKED = "bucket int, texts binary, anchors binary, own binary, pos binary"
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """anchor, class (of the whole text), position; once per text and position."""
+
+def _pack(batches: Iterator[pa.RecordBatch], length: int, buckets: int, pack: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of the texts, sorted and packed by bucket.
+
+    Rows of a bucket hold 48-bit anchors, the text of each (an index in ``texts``) and its position.
+    An anchor that stands in two texts here is settled: its places go out without anchors, in
+    buckets below zero, and its own bucket is told once that it repeats.
+    """
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("texts", "anchors", "own", "pos"))])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        anchor, own, pos = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((pos, own, anchor))
+        anchor, own, pos = anchor[order], own[order], pos[order]
+        fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])])
+        anchor, own, pos = anchor[fresh], own[fresh], pos[fresh]
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        begin = np.flatnonzero(new)
+        two = (np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin))[np.cumsum(new) - 1]
+        texts, index = np.unique(own, return_inverse=True)
+        index = index.astype(np.uint64)
+        rows = []
+        settled = np.flatnonzero(two)
+        for a in range(0, len(settled), pack // 16):
+            mine = settled[a : a + pack // 16]
+            used, at = np.unique(index[mine], return_inverse=True)
+            rows.append((-1 - int(anchor[mine[0]] % np.uint64(1 << 30)), texts[used.astype(np.int64)].tobytes(), None, _planes(at.astype(np.uint64), 4), _planes(pos[mine].astype(np.uint64), 4)))
+        keep = new | ~two
+        told, anchor, index, pos = two[keep], anchor[keep], index[keep], pos[keep]
+        bucket = ((anchor >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for a, b in zip(edge[:-1], edge[1:]):
+            used, at = np.unique(index[a:b], return_inverse=True)
+            at = np.where(told[a:b], np.uint64(_KNOWN), at.astype(np.uint64))
+            rows.append((int(bucket[a]), texts[used.astype(np.int64)].tobytes(), _planes(anchor[a:b], 6), _planes(at, 4), _planes(pos[a:b].astype(np.uint64), 4)))
+        for a in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[a : a + 64]), schema)], schema=schema)
+
+    size = 0
     for batch in batches:
         raw, off = K.utf8(batch.column(0))
         for a, b in K.slices(off):
             h, first = K.words(raw, off[a : b + 1], False)
-            g, row, pos = anchors(h, first, length)
+            row, g, at, _ = owners(h, first, length)
             if len(g):
-                own = np.array([_digest(h[first[i] : first[i + 1]])[0] if first[i + 1] - first[i] >= length else 0 for i in range(b - a)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(g)), pa.array(own[row]), pa.array(pos.astype(np.int32))], ["anchor", "class", "pos"])
+                own = np.zeros(b - a, np.int64)
+                for i in np.unique(row):
+                    own[i] = _digest(h[first[i] : first[i + 1]])[0]
+                held.append((g >> np.uint64(16), own[row], at - first[row]))
+                size += len(g)
+            if size >= pack:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and class, distinct, those whose anchor stands in two classes.
-
-    Holds back only the rows of an anchor's first class.
-    """
-    held: list[pa.RecordBatch] = []
-    last = None  # (anchor, class, known to repeat)
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        a, c, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        new = np.concatenate([[True], a[1:] != a[:-1]])
+    """class (of the text) and places of the anchors that stand in two texts; rows come sorted by bucket."""
+    now, held = None, []
+
+    def places(own: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(own):
+            order = np.lexsort((pos, own))
+            own, pos = own[order], pos[order]
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(pos.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), lists], ["class", "places"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        anchor, own, pos, told = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(anchor, kind="stable")
+        anchor, own, pos, told = anchor[order], own[order], pos[order], told[order]
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        two = np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)
-        if last is not None and last[0] == a[0]:
-            if last[2] or last[1] != c[0]:
-                two[0] = True
-        else:
-            held = []
-        if two[0]:
-            yield from held
-            held = []
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])])
-        keep = two[group] & fresh
-        yield batch.filter(pa.array(keep))
-        if not two[-1]:
-            tail = batch.slice(int(begin[-1]))
-            held = [*held, tail] if last is not None and last[0] == a[-1] and len(begin) == 1 else [tail]
-        else:
-            held = []
-        last = (a[-1], c[-1], bool(two[-1]))
-
-
-def _contents(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of the stretches h[lo:hi] in a row, offsets, content hash of each)."""
-    size = hi - lo
-    offset = np.concatenate([[0], np.cumsum(size)])
-    within = np.arange(offset[-1]) - np.repeat(offset[:-1], size)
-    w = h[np.repeat(lo, size) + within]
-    if not len(size):
-        return w, offset, np.zeros(0, np.int64)
-    odd = K.constants(int(size.max()), 808)
-    with np.errstate(over="ignore"):
-        content = K.mix64(np.add.reduceat(K.mix64(w) * odd[within], offset[:-1]) + size.astype(np.uint64))
-    return w, offset, K.signed(content)
-
+        several = np.maximum.reduceat(told, begin) | (np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin))
+        keep = several[np.cumsum(new) - 1] & ~told
+        yield from places(own[keep], pos[keep])
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """key, doc_id, anchor, start and content hash of the runs around a document's listed anchors.
-
-    Columns are doc_id, text, key, places; the last lists the anchors' positions, or with words the starts of the stretches; then the
-    word hashes come too.
-    """
+    for batch in batches:
+        for r in batch.to_pylist():
+            texts, at, pos = np.frombuffer(r["texts"], np.int64), _unplanes(r["own"], 4), _unplanes(r["pos"], 4)
+            told = at == _KNOWN
+            own = texts[np.where(told, 0, at).astype(np.int64)]
+            if r["anchors"] is None:
+                yield from places(own, pos)
+                continue
+            if r["bucket"] != now:
+                if held:
+                    yield from done()
+                now, held = r["bucket"], []
+            held.append((_unplanes(r["anchors"], 6), own, pos, told))
+    if held:
+        yield from done()
+
+
+STRETCHES = "group int, key long, doc_id long, anchor long, start int, words binary"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """The stretch of each listed anchor; columns are doc_id, text, key, places."""
     for batch in batches:
         raw, off = K.utf8(batch.column(1))
         listed = batch.column(3)
         for a, b in K.slices(off):
             h, first = K.words(raw, off[a : b + 1], False)
-            g, row, pos = anchors(h, first, length)
+            row, g, at, run = owners(h, first, length)
             mine = listed.slice(a, b - a)
             want = mine.flatten().to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(b - a), np.diff(mine.offsets.to_numpy()))
-            n = np.diff(first)
-            start = np.maximum(0, pos - (length - GRAM))
-            here = start if words else pos
-            hot = np.isin(row * (1 << 40) + here, owner * (1 << 40) + want)
-            g, row, start, pos = g[hot], row[hot], start[hot], pos[hot]
-            stop = np.minimum(n[row], pos + length)
-            lo, hi = first[row] + start, first[row] + stop
-            w, offset, content = _contents(h, lo, hi)
-            at = pa.array(row + a)
-            out = [batch.column(2).take(at), batch.column(0).take(at), pa.array(K.signed(g)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(content)]
-            names = ["key", "doc_id", "anchor", "start", "stop", "content"]
-            if words:
-                w = np.ascontiguousarray(w)
-                out.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((offset * 8).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())]))
-                names.append("words")
-            yield pa.RecordBatch.from_arrays(out, names)
-
-
-class Automaton:
-    """Suffix automaton over word symbols; least[s] is the least id of state s's occurrences."""
-
-    def __init__(self, texts: list[list[int]], ids: list[int]):
-        nxt: list[dict[int, int]] = [{}]
-        link, length, least = [-1], [0], [_LAST]
+            hot = np.isin(row * (1 << 40) + at - first[row], owner * (1 << 40) + want)
+            row, g, lo, size = row[hot], g[hot], run[hot, 0], run[hot, 1] - run[hot, 0] + length
+            if not len(row):
+                continue
+            offset = np.concatenate([[0], np.cumsum(size)])
+            w = np.ascontiguousarray(h[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])])
+            words = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((offset * 8).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())])
+            group = (K.mix64(g) % np.uint64(groups)).astype(np.int32)
+            src = pa.array(row + a)
+            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(2).take(src), batch.column(0).take(src), pa.array(K.signed(g)), pa.array((lo - first[row]).astype(np.int32)), words], ["group", "key", "doc_id", "anchor", "start", "words"])
+
+
+DEALT = "shard int, key long, doc_id long, start int, words binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The shard of each stretch by its anchor; stretches of hot anchors run by run, by the run."""
+    for batch in batches:
+        hot = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+        shard = (K.mix64(batch.column(2).to_numpy().view(np.uint64) ^ np.uint64(77)) % np.uint64(SHARDS)).astype(np.int32)
+        cold = pa.array(np.flatnonzero(~hot))
+        yield pa.RecordBatch.from_arrays([pa.array(shard).take(cold), *(batch.column(c).take(cold) for c in (0, 1, 3, 4))], ["shard", "key", "doc_id", "start", "words"])
+        at, begin, runs, dealt = [], [], [], []
+        for i in np.flatnonzero(hot):
+            w = np.frombuffer(batch.column(4)[int(i)].as_py(), np.uint64)
+            n = len(w) - length + 1
+            at += [i] * n
+            begin += range(n)
+            runs += [w[j : j + length].tobytes() for j in range(n)]
+            dealt += (K.windows(w, length) % np.uint64(SHARDS)).tolist()
+        if at:
+            src = pa.array(at, pa.int64())
+            start = batch.column(3).take(src).to_numpy() + np.array(begin, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0).take(src), batch.column(1).take(src), pa.array(start.astype(np.int32)), pa.array(runs, pa.binary())], ["shard", "key", "doc_id", "start", "words"])
+
+
+class Automaton(NamedTuple):
+    """A suffix automaton over word hashes in flat arrays; state 0 is its root.
+
+    word and to are a state's first transition (to is -1 without one), the fan holds the others;
+    least is the least id of a state's occurrences.
+    """
+
+    word: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    least: np.ndarray
+    fan_state: np.ndarray
+    fan_word: np.ndarray
+    fan_to: np.ndarray
+
+    @staticmethod
+    def build(texts: list[np.ndarray], ids: list[int]) -> Automaton:
+        vocabulary, coded = np.unique(np.concatenate(texts), return_inverse=True)
+        sym, to, link, length, least = [-1], [-1], [-1], [0], [_LAST]
+        fan: dict[int, dict[int, int]] = {}
+
+        def clone(p: int, c: int, q: int) -> int:
+            new = len(to)
+            sym.append(sym[q])
+            to.append(to[q])
+            if q in fan:
+                fan[new] = dict(fan[q])
+            link.append(link[q])
+            length.append(length[p] + 1)
+            least.append(_LAST)
+            link[q] = new
+            while p != -1:
+                if sym[p] == c:
+                    if to[p] != q:
+                        break
+                    to[p] = new
+                else:
+                    f = fan.get(p)
+                    if f is None or f.get(c) != q:
+                        break
+                    f[c] = new
+                p = link[p]
+            return new
+
+        at = 0
         for text, doc in zip(texts, ids):
             last = 0
-            for c in text:
-                if c in nxt[last]:
-                    q = nxt[last][c]
-                    if length[q] == length[last] + 1:
-                        last = q
-                    else:
-                        last = self._clone(nxt, link, length, least, last, c, q)
-                    least[last] = min(least[last], doc)
+            for c in coded[at : at + len(text)].tolist():
+                f = fan.get(last)
+                q = to[last] if sym[last] == c else f.get(c, -1) if f else -1
+                if q >= 0:
+                    last = q if length[q] == length[last] + 1 else clone(last, c, q)
+                    if doc < least[last]:
+                        least[last] = doc
                     continue
-                cur = len(nxt)
-                nxt.append({})
+                cur, p = len(to), last
+                sym.append(-1)
+                to.append(-1)
                 link.append(0)
                 length.append(length[last] + 1)
                 least.append(doc)
-                p = last
-                while p != -1 and c not in nxt[p]:
-                    nxt[p][c] = cur
+                while p != -1:
+                    if sym[p] == c:
+                        q = to[p]
+                        break
+                    f = fan.get(p)
+                    if f is not None and c in f:
+                        q = f[c]
+                        break
+                    if sym[p] < 0:
+                        sym[p], to[p] = c, cur
+                    elif f is None:
+                        fan[p] = {c: cur}
+                    else:
+                        f[c] = cur
                     p = link[p]
                 if p != -1:
-                    q = nxt[p][c]
-                    link[cur] = q if length[q] == length[p] + 1 else self._clone(nxt, link, length, least, p, c, q)
+                    link[cur] = q if length[q] == length[p] + 1 else clone(p, c, q)
                 last = cur
-        for s in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
-            if least[s] < least[link[s]]:
-                least[link[s]] = least[s]
-        self.nxt, self.link, self.length, self.least = nxt, link, length, least
+            at += len(text)
+        depth, up, low = np.array(length, np.int32), np.array(link, np.int32), np.array(least, np.int64)
+        order = np.argsort(-depth, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1):
+            if depth[level[0]]:
+                np.minimum.at(low, up[level], low[level])
+        code = np.array(sym, np.int64)
+        edges = [(s, c, t) for s, f in fan.items() for c, t in f.items()]
+        fan_state, fan_code, fan_to = (np.array(x, np.int32) for x in zip(*edges)) if edges else (np.zeros(0, np.int32),) * 3
+        return Automaton(vocabulary[np.maximum(code, 0)], np.array(to, np.int32), up, depth, low, fan_state, vocabulary[fan_code], fan_to)
 
     @staticmethod
-    def _clone(nxt, link, length, least, p, c, q) -> int:
-        new = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        least.append(_LAST)
-        link[q] = new
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = new
-            p = link[p]
-        return new
-
-    def holders(self, text: list[int], length: int) -> list[int]:
-        """For each run of length words of text, the least id that holds it (or _LAST)."""
-        out, s, n = [], 0, 0
-        for i, c in enumerate(text):
-            while s and c not in self.nxt[s]:
-                s = self.link[s]
-                n = self.length[s]
-            if c in self.nxt[s]:
-                s = self.nxt[s][c]
-                n += 1
-            while s and self.length[self.link[s]] >= length:
-                s = self.link[s]
-                n = self.length[s]
-            if i + 1 >= length:
-                out.append(self.least[s] if n >= length else _LAST)
+    def load(blobs: list[bytes]) -> Automaton:
+        return Automaton(*(np.frombuffer(b, t) for b, t in zip(blobs, _KINDS)))
+
+
+_KINDS = ("<u8", "<i4", "<i4", "<i4", "<i8", "<i4", "<u8", "<i4")
+
+
+def _edge(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.mix64(word ^ K.mix64(state.astype(np.uint64) + K.U64(K._BASE)))
+
+
+class Shards:
+    """Automata side by side in one space of states, through which many texts stream at once."""
+
+    def __init__(self, parts: list[Automaton]):
+        size = np.array([len(p.to) for p in parts])
+        self.roots = np.concatenate([[0], np.cumsum(size)])[:-1]
+        moved = lambda field: np.concatenate([np.where(getattr(p, field) < 0, -1, getattr(p, field) + r).astype(np.int32) for p, r in zip(parts, self.roots)])
+        self.word, self.length, self.least = (np.concatenate([getattr(p, c) for p in parts]) for c in ("word", "length", "least"))
+        self.to, self.link = moved("to"), moved("link")
+        state = np.concatenate([p.fan_state + r for p, r in zip(parts, self.roots)])
+        key, target = _edge(state, np.concatenate([p.fan_word for p in parts])), moved("fan_to")
+        order = np.argsort(key)
+        self.key, self.target = key[order], target[order]
+
+    def _step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.where(self.word[state] == word, self.to[state], -1)
+        miss = np.flatnonzero(out < 0)
+        if len(miss) and len(self.key):
+            key = _edge(state[miss], word[miss])
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            out[miss] = np.where(self.key[at] == key, self.target[at], -1)
         return out
 
+    def holders(self, root: np.ndarray, words: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(least id that holds each run, or _LAST; first run of each text), text i streaming from root[i].
+
+        Matching statistics: after each word the longest suffix that the automaton holds; states
+        are kept at the shortest one of at least length words, which is all a later run needs.
+        """
+        size = np.diff(offset)
+        first = np.concatenate([[0], np.cumsum(np.maximum(0, size - length + 1))])
+        out = np.full(first[-1], _LAST, np.int64)
+        state, match = root.astype(np.int64), np.zeros(len(root), np.int64)
+        for i in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > i)
+            c, s, m = words[offset[live] + i], state[live], match[live]
+            todo = np.arange(len(live))
+            while len(todo):
+                t = self._step(s[todo], c[todo])
+                ok = t >= 0
+                s[todo[ok]] = t[ok]
+                m[todo[ok]] += 1
+                todo = todo[~ok]
+                up = self.link[s[todo]]
+                m[todo] = np.where(up < 0, 0, self.length[up])
+                todo, up = todo[up >= 0], up[up >= 0]
+                s[todo] = up
+            while True:
+                up = self.link[s]
+                high = (up >= 0) & (self.length[up] >= length)
+                if not high.any():
+                    break
+                s = np.where(high, up, s)
+                m = np.where(high, self.length[s], m)
+            state[live], match[live] = s, m
+            if i + 1 >= length:
+                out[first[live] + i + 1 - length] = np.where(m >= length, self.least[s], _LAST)
+        return out, first
+
+
+BUILT = "shard int, size long, " + ", ".join(f"a{i} binary" for i in range(len(_KINDS)))
+
+
+def _build(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Automata of rows (shard, words, least) sorted by shard, each of at most limit words."""
+    shard, texts, ids, n = None, [], [], 0
+
+    def done() -> pa.RecordBatch:
+        blobs = [x.astype(t).tobytes() for x, t in zip(Automaton.build(texts, ids), _KINDS)]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sum(map(len, blobs))], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], ["shard", "size", *(f"a{i}" for i in range(len(blobs)))])
+
+    for batch in batches:
+        for s, w, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if texts and (s != shard or n + len(w) // 8 > limit):
+                yield done()
+                texts, ids, n = [], [], 0
+            shard = s
+            texts.append(np.frombuffer(w, np.uint64))
+            ids.append(doc)
+            n += len(w) // 8
+    if texts:
+        yield done()
+
 
-def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    number: dict[int, int] = {}
-    texts = [[number.setdefault(x, len(number)) for x in np.frombuffer(w, np.uint64).tolist()] for w in pdf["words"]]
-    machine = Automaton(texts, pdf["least"].tolist())
-    return pd.DataFrame({"content": pdf["content"], "holders": [machine.holders(t, length) for t in texts]})
+_loaded: list = [None, None]
 
 
-def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """key, number of removed words and digest of the kept ones, from text and places."""
+def _stream(batches: Iterator[pa.RecordBatch], group, length: int) -> Iterator[pa.RecordBatch]:
+    """key and spans of the runs that the broadcast automata hold under a smaller id than doc_id."""
+    schema = pa.schema([("key", pa.int64()), ("spans", pa.list_(pa.int32()))])
+    for batch in batches:
+        if _loaded[0] != group.value[0]:
+            _loaded[:] = [group.value[0], Shards([Automaton.load(b) for _, b in group.value[1]])]
+        shards, of = _loaded[1], np.array([s for s, _ in group.value[1]])
+        key, doc, start = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        raw, off = K.utf8(batch.column(4))
+        shard = batch.column(0).to_numpy()
+        for k in range(int(np.bincount(of).max())):  # the k-th part of each shard
+            part = np.full(int(max(of.max(), shard.max(initial=0))) + 1, -1)
+            for s in np.unique(of):
+                mine = np.flatnonzero(of == s)
+                if len(mine) > k:
+                    part[s] = mine[k]
+            at = np.flatnonzero(part[shard] >= 0)
+            if not len(at):
+                continue
+            lo, size = off[at] // 8, (off[at + 1] - off[at]) // 8
+            base = int(off[0])
+            words = raw[base : int(off[-1])].view(np.uint64)
+            lo = lo - base // 8
+            offset = np.concatenate([[0], np.cumsum(size)])
+            w = words[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])]
+            hold, first = shards.holders(shards.roots[part[shard[at]]], w, offset, length)
+            runs = np.diff(first)
+            own = np.repeat(np.arange(len(at)), runs)
+            begin = start[at][own] + np.arange(first[-1]) - first[own]
+            gone = hold < doc[at][own]
+            own, begin = key[at][own[gone]], begin[gone]
+            if not len(own):
+                continue
+            order = np.lexsort((begin, own))
+            own, begin = own[order], begin[order]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (begin[1:] > begin[:-1] + length)])
+            head = np.flatnonzero(new)
+            tail = np.concatenate([head[1:], [len(own)]]) - 1
+            spans = np.stack([begin[head], begin[tail] + length], 1).astype(np.int32).ravel()
+            owner = own[head]
+            edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), pa.ListArray.from_arrays(pa.array((2 * edge).astype(np.int32)), pa.array(spans))], schema=schema)
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, number of removed words and digest of the kept ones, from text and spans (begin, end, begin, end ...)."""
     for batch in batches:
         n, sha = [], []
-        for text, starts in zip(batch.column(1), batch.column(2)):
+        for text, spans in zip(batch.column(1), batch.column(2)):
             words = (text.as_py() or "").encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            at = np.unique(starts.values.to_numpy())
-            gone[at] += 1
-            gone[at + length] -= 1
+            ends = spans.values.to_numpy()
+            np.add.at(gone, ends[::2], 1)
+            np.add.at(gone, ends[1::2], -1)
             keep = np.cumsum(gone)[:-1] == 0
             n.append(int(len(words) - keep.sum()))
             sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep) if k)).hexdigest())
@@ -284,73 +524,80 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
-def substring_spans(docs: DataFrame, length: int = 13, heavy_docs: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(overview, reps, runs): overview of every row with key, of its word sequence, and rep, the least id of it;
+def _rounds(sizes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ranges of the automata, in order, whose bytes stay within GROUP_BYTES; one alone may pass it."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > GROUP_BYTES:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if len(sizes) > at:
+        yield at, len(sizes)
+
+
+def _held(spark: SparkSession, stretches: str, groups: int, length: int) -> DataFrame:
+    """key and spans of the stretches' runs that a smaller id holds, group by group."""
+    all_of = spark.read.parquet(stretches)
+    limit = PART_WORDS
+    hot = all_of.select("anchor", F.xxhash64("words").alias("c")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor", F.lit(True).alias("hot"))
+    hot = stash(hot, "hot-anchors")
+    found = fresh_path(spark, "spans")
+    spark.createDataFrame([], "key long, spans array<int>").write.parquet(found)
+    columns = ["key", "doc_id", "anchor", "start", "words", "hot"]
+    for g in range(groups):
+        own = all_of.where(F.col("group") == g).join(hot, "anchor", "left").select(*columns[:5], F.coalesce("hot", F.lit(False)).alias("hot"))
+        dealt = own.mapInArrow(lambda it: _deal(it, length), DEALT)
+        reference = dealt.groupBy("shard", "words").agg(F.min("doc_id").alias("least"))
+        built = reference.repartition("shard").sortWithinPartitions("shard").select("shard", "words", "least").mapInArrow(lambda it: _build(it, limit), BUILT)
+        built = stash(built.withColumn("part", F.monotonically_increasing_id()), "automata")
+        listed = built.select("shard", "part", "size").orderBy("shard", "part").collect()
+        for a, b in _rounds([r.size for r in listed]):
+            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).collect()
+            sent = spark.sparkContext.broadcast((f"{found}-{g}-{a}", [(r.shard, [bytes(r[f"a{i}"]) for i in range(len(_KINDS))]) for r in rows]))
+            del rows
+            dealt.mapInArrow(lambda it, sent=sent: _stream(it, sent, length), "key long, spans array<int>").write.mode("append").parquet(found)
+            sent.destroy()
+        drop(built)
+        release(spark)
+    return spark.read.parquet(found)
+
+
+def substring_spans(docs: DataFrame, length: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overview, reps, spans): overview of every row with key, of its word sequence, and rep, the least id of it;
     reps(doc_id, t1, t2, key): a text of each key under its least id;
-    runs(key, starts): the words of the key's text at which a run to remove starts."""
-    d = _texts(docs)
+    spans(key, spans): begin and end of each span of words of the key's text to remove."""
+    spark, d = docs.sparkSession, _texts(docs)
     seen = stash(d.mapInArrow(_overview, "doc_id long, t1 long, t2 long, n_words long, d1 long, d2 long, sha string"), "overview")
     least = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("at"))
     reps = stash(least.select("d1", "d2", "at.*", F.monotonically_increasing_id().alias("key")), "reps")
 
-    sample = d.orderBy(F.xxhash64("doc_id")).limit(heavy_docs).select("text").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, class long, pos int")
-    heavy = sample.groupBy("anchor").agg(F.count_distinct("class").alias("c")).where(f"c > {max(1, heavy_docs // 100)}").select("anchor").collect()
-    heavy = [r[0] for r in heavy]  # at most 100 per word of a document: bounded by the sample
-    rows = d.select("text").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, class long, pos int")
-    often = F.col("anchor").isin(heavy) if heavy else F.lit(False)
-    found = rows.where(~often).repartition("anchor").sortWithinPartitions("anchor", "class", "pos").mapInArrow(_repeated, "anchor long, class long, pos int")
-    found = found.unionByName(rows.where(often)) if heavy else found
-    spots = stash(found.groupBy("class").agg(F.collect_set("pos").alias("places")), "places")
-    spots = stash(spots.join(reps.withColumnRenamed("d1", "class"), "class").select("doc_id", "t1", "t2", "key", "places"), "rep-places")
+    n_words = seen.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(8, -(-2 * n_words // ((length - GRAM + 2) * BUCKET)))
+    pack = PACK
+    packed = d.select("text").mapInArrow(lambda it: _pack(it, length, buckets, pack), PACKED)
+    places = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "class long, places array<int>")
+    places = places.groupBy("class").agg(F.flatten(F.collect_list("places")).alias("places"))
+    spots = stash(places.join(reps.withColumnRenamed("d1", "class"), "class").select("doc_id", "t1", "t2", "key", "places"), "places")
+    release(spark)
 
+    groups = max(1, -(-(spots.agg(F.sum(F.size("places"))).first()[0] or 0) // GROUP_STRETCHES))
     near = d.join(spots, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "places")
-    part = stash(near.mapInArrow(lambda it: _stretches(it, length, False), "key long, doc_id long, anchor long, start int, stop int, content long"), "stretches")
-    content = part.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "key", "start")).alias("at"))
-    content = stash(content.select("anchor", "content", F.col("at.doc_id").alias("least"), F.col("at.key").alias("key"), F.col("at.start").alias("start")), "contents")
-    per = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    # An anchor with one content everywhere: all its runs are held by the least id of that content.
-    alone = content.join(per.where("n = 1").select("anchor"), "anchor", "left_semi").select("content", F.col("least").alias("holder"))
-    several = content.join(per.where("n > 1"), "anchor").select("anchor", "content", "least", "key", "start", (F.col("n") / STRETCHES + 1).cast("long").alias("ways"))
-    several = stash(several, "several")
-    wanted = several.groupBy("key").agg(F.collect_set("start").alias("starts")).join(reps, "key")
-    told = d.join(wanted, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "starts").mapInArrow(lambda it: _stretches(it, length, True), "key long, doc_id long, anchor long, start int, stop int, content long, words binary")
-    told = told.groupBy("anchor", "content").agg(F.first("words").alias("words"))
-    shards = several.join(told, ["anchor", "content"])
-    n = max(8, -(-several.count() // STRETCHES))
-    dealt = shards.where("ways = 1").select("anchor", "content", "least", "words", F.pmod(F.xxhash64("anchor"), F.lit(n)).alias("shard"))
-    many = shards.where("ways > 1").select("anchor", "content", "least", "words", "ways").mapInArrow(lambda it: _deal(it, length, n), "anchor long, content long, least long, words binary, shard long")
-    held = dealt.unionByName(many).groupBy("shard").applyInPandas(lambda pdf: _match(pdf, length), "content long, holders array<long>")
-    # A content dealt to several sub-shards, at most one for each of its runs, keeps the least holder of each run.
-    held = stash(held, "holders").groupBy("content").agg(F.collect_list("holders").alias("xs"))
-    held = held.select("content", F.expr("reduce(xs, xs[0], (a, b) -> zip_with(a, b, (p, q) -> least(p, q)))").alias("holders"))
-    known = held.withColumn("holder", F.lit(None).cast("long")).unionByName(alone.withColumn("holders", F.lit(None).cast("array<long>")))
-    some = F.expr("filter(transform(holders, (h, j) -> if(h < doc_id, start + j, null)), x -> x is not null)")
-    every = F.when(F.col("holder") < F.col("doc_id"), F.sequence("start", F.col("stop") - length)).otherwise(F.array().cast("array<int>"))
-    runs = part.select("key", "doc_id", "start", "stop", "content").join(known, "content").select("key", F.coalesce(some, every).alias("own"))
-    # A set, as rows that repeat an id with its text repeat the runs.
-    found = runs.where("size(own) > 0").groupBy("key").agg(F.flatten(F.collect_set("own")).alias("starts"))
+    path = fresh_path(spark, "stretches")
+    near.mapInArrow(lambda it: _stretches(it, length, groups), STRETCHES).write.option("compression", "zstd").partitionBy("group").parquet(path)
+    release(spark)
+    if not spots.isEmpty():
+        found = _held(spark, path, groups, length).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    else:
+        found = spark.createDataFrame([], "key long, spans array<int>")
     overview = seen.drop("t1", "t2").join(reps.select("d1", "d2", "key", F.col("doc_id").alias("rep")), ["d1", "d2"], "left")
     return overview, reps.select("doc_id", "t1", "t2", "key"), found
 
 
-def _deal(batches: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Each stretch of a frequent minimiser to the sub-shards of its runs."""
-    for batch in batches:
-        at, shard = [], []
-        anchor, ways = batch.column("anchor").to_numpy().view(np.uint64), batch.column("ways").to_numpy()
-        for i, w in enumerate(batch.column("words")):
-            runs = K.windows(np.frombuffer(w.as_py(), np.uint64), length)
-            own = np.unique(runs % K.U64(int(ways[i]))) if len(runs) else runs
-            at += [i] * len(own)
-            shard += K.signed(K.mix64(own ^ anchor[i])).tolist() if len(own) else []
-        idx = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(idx) for c in ("anchor", "content", "least", "words")), pa.array(shard, pa.int64())], ["anchor", "content", "least", "words", "shard"])
-
-
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    seen, reps, runs = substring_spans(docs, length)
-    cut = _texts(docs).join(runs.join(reps, "key"), ["doc_id", "t1", "t2"]).select("key", "text", "starts").mapInArrow(lambda it: _removed(it, length), "key long, removed long, kept string")
+    seen, reps, spans = substring_spans(docs, length)
+    cut = _texts(docs).join(spans.join(reps, "key"), ["doc_id", "t1", "t2"]).select("key", "text", "spans").mapInArrow(_removed, "key long, removed long, kept string")
     cut = cut.groupBy("key").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
     copy = F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))
     out = seen.join(cut, "key", "left")

@@ -115,9 +115,11 @@ def brute_substrings(rows, length=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("stretches", [2, 4096])
-def test_substrings_brute(spark, docs, stretches, monkeypatch):
-    monkeypatch.setattr(substring, "STRETCHES", stretches)
+@pytest.mark.parametrize("small", [False, True])
+def test_substrings_brute(spark, docs, small, monkeypatch):
+    if small:  # hot anchors, many groups, parts and rounds
+        for name, value in (("HOT", 2), ("GROUP_STRETCHES", 400), ("PART_WORDS", 300), ("GROUP_BYTES", 20_000), ("PACK", 500), ("BUCKET", 300)):
+            monkeypatch.setattr(substring, name, value)
     got = sorted(map(tuple, substring.dedup_substrings(docs).collect()), key=str)
     assert got == brute_substrings(corpus())
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
@@ -137,15 +139,20 @@ def test_substrings_of_shared_ids(spark):
     assert sorted(map(tuple, substring.dedup_substrings(docs).collect()), key=str) == brute_substrings(rows)
 
 
-def test_automaton_against_brute():
+def test_automata_against_brute():
     rng = random.Random(2)
-    texts = [[rng.randrange(3) for _ in range(rng.randint(0, 30))] for _ in range(12)]
+    texts = [np.array([rng.randrange(3) for _ in range(rng.randint(0, 30))], np.uint64) for _ in range(24)]
     ids = [rng.randrange(100) for _ in texts]
-    a = substring.Automaton(texts, ids)
-    for n in (1, 3, 5):
-        for t in texts:
-            want = [min(d for s, d in zip(texts, ids) if any(s[k : k + n] == t[i : i + n] for k in range(len(s) - n + 1))) for i in range(len(t) - n + 1)]
-            assert a.holders(t, n) == want
+    halves = [(texts[:12], ids[:12]), (texts[12:], ids[12:])]
+    s = substring.Shards([substring.Automaton.build(t, i) for t, i in halves])
+    offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for k, (own, names) in enumerate(halves):
+        for n in (1, 3, 5):
+            hold, first = s.holders(np.full(len(texts), s.roots[k]), np.concatenate(texts), offset, n)
+            for i, t in enumerate(texts):
+                t = t.tolist()
+                want = [min([d for x, d in zip(own, names) if any(x[q : q + n].tolist() == t[j : j + n] for q in range(len(x) - n + 1))], default=substring._LAST) for j in range(len(t) - n + 1)]
+                assert hold[first[i] : first[i + 1]].tolist() == want
 
 
 def test_decontamination_brute(spark, docs):
