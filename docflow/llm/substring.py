@@ -49,11 +49,11 @@ from .common import drop, fresh_path, release, stash, table
 
 GRAM = 7
 #: Anchors that a task packs at once, and that one bucket of the exchange holds on average.
-PACK, BUCKET = 1 << 20, 1 << 20
+PACK, BUCKET = 1 << 19, 1 << 18
 #: Bytes of automata broadcast at once, and words of reference text in one automaton at most.
 GROUP_BYTES, PART_WORDS = 48 << 20, 1 << 16
 #: Stretches of the documents per group on average, and shards of a group.
-GROUP_STRETCHES, SHARDS = 480_000, 32
+GROUP_STRETCHES, SHARDS = 400_000, 32
 #: Different stretches of an anchor above which its runs are dealt one by one.
 HOT = 4096
 _LAST = 2**63 - 1
@@ -247,25 +247,20 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, groups: int) -> I
 DEALT = "shard int, key long, doc_id long, start int, words binary"
 
 
-def _deal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The shard of each stretch by its anchor; stretches of hot anchors run by run, by the run."""
+def _deal(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Stretches (key, doc_id, start, words) run by run, each run to the shard of its hash."""
     for batch in batches:
-        hot = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
-        shard = (K.mix64(batch.column(2).to_numpy().view(np.uint64) ^ np.uint64(77)) % np.uint64(SHARDS)).astype(np.int32)
-        cold = pa.array(np.flatnonzero(~hot))
-        yield pa.RecordBatch.from_arrays([pa.array(shard).take(cold), *(batch.column(c).take(cold) for c in (0, 1, 3, 4))], ["shard", "key", "doc_id", "start", "words"])
         at, begin, runs, dealt = [], [], [], []
-        for i in np.flatnonzero(hot):
-            w = np.frombuffer(batch.column(4)[int(i)].as_py(), np.uint64)
+        for i, x in enumerate(batch.column(3).to_pylist()):
+            w = np.frombuffer(x, np.uint64)
             n = len(w) - length + 1
             at += [i] * n
             begin += range(n)
             runs += [w[j : j + length].tobytes() for j in range(n)]
-            dealt += (K.windows(w, length) % np.uint64(SHARDS)).tolist()
-        if at:
-            src = pa.array(at, pa.int64())
-            start = batch.column(3).take(src).to_numpy() + np.array(begin, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0).take(src), batch.column(1).take(src), pa.array(start.astype(np.int32)), pa.array(runs, pa.binary())], ["shard", "key", "doc_id", "start", "words"])
+            dealt += (K.windows(w, length) % np.uint64(shards)).tolist()
+        src = pa.array(at, pa.int64())
+        start = batch.column(2).take(src).to_numpy() + np.array(begin, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0).take(src), batch.column(1).take(src), pa.array(start.astype(np.int32)), pa.array(runs, pa.binary())], ["shard", "key", "doc_id", "start", "words"])
 
 
 class Automaton(NamedTuple):
@@ -540,22 +535,28 @@ def _held(spark: SparkSession, stretches: str, groups: int, length: int) -> Data
     """key and spans of the stretches' runs that a smaller id holds, group by group."""
     all_of = spark.read.parquet(stretches)
     limit = PART_WORDS
-    hot = all_of.select("anchor", F.xxhash64("words").alias("c")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor", F.lit(True).alias("hot"))
+    hot = all_of.select("anchor", F.xxhash64("words").alias("c")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor")
     hot = stash(hot, "hot-anchors")
     found = fresh_path(spark, "spans")
     spark.createDataFrame([], "key long, spans array<int>").write.parquet(found)
-    columns = ["key", "doc_id", "anchor", "start", "words", "hot"]
+    columns, shards = ["key", "doc_id", "start", "words"], SHARDS
+    any_hot = not hot.isEmpty()
     for g in range(groups):
-        own = all_of.where(F.col("group") == g).join(hot, "anchor", "left").select(*columns[:5], F.coalesce("hot", F.lit(False)).alias("hot"))
-        dealt = own.mapInArrow(lambda it: _deal(it, length), DEALT)
+        own = all_of.where(F.col("group") == g)
+        cold = own.join(hot, "anchor", "left_anti") if any_hot else own
+        dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), *columns)
+        if any_hot:
+            dealt = dealt.unionByName(own.join(hot, "anchor", "left_semi").select(columns).mapInArrow(lambda it: _deal(it, length, shards), DEALT))
         reference = dealt.groupBy("shard", "words").agg(F.min("doc_id").alias("least"))
         built = reference.repartition("shard").sortWithinPartitions("shard").select("shard", "words", "least").mapInArrow(lambda it: _build(it, limit), BUILT)
         built = stash(built.withColumn("part", F.monotonically_increasing_id()), "automata")
         listed = built.select("shard", "part", "size").orderBy("shard", "part").collect()
         for a, b in _rounds([r.size for r in listed]):
-            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).collect()
-            sent = spark.sparkContext.broadcast((f"{found}-{g}-{a}", [(r.shard, [bytes(r[f"a{i}"]) for i in range(len(_KINDS))]) for r in rows]))
+            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).toArrow()
+            parts = [(r["shard"], [r[f"a{i}"] for i in range(len(_KINDS))]) for batch in rows.to_batches(1) for r in batch.to_pylist()]
             del rows
+            sent = spark.sparkContext.broadcast((f"{found}-{g}-{a}", parts))
+            del parts
             dealt.mapInArrow(lambda it, sent=sent: _stream(it, sent, length), "key long, spans array<int>").write.mode("append").parquet(found)
             sent.destroy()
         drop(built)
