@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; where unset, a new folder, set once."""
+    """The cluster's shared folder from spark.checkpoint.dir; where unset, a new folder in local mode only, set once."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="docflow-")
         spark.sparkContext.setCheckpointDir(root)
@@ -47,24 +49,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """big joined to small by key (one column or several), where small has a row per key and c, the number of big's rows with it.
+
+    At most HEAVY keys can have more than total / HEAVY of big's total rows; these are broadcast, so their
+    rows stay where they are, and only the rows of the others are shuffled by key.
+    """
+    heavy = F.col("c") > F.lit(max(LIGHT, total // HEAVY))
+    key = [key] if isinstance(key, str) else key
+    hot = small.where(heavy).drop("c")
+    return big.join(F.broadcast(hot), key).unionByName(big.join(F.broadcast(hot.select(*key)), key, "left_anti").join(small.where(~heavy).drop("c"), key))
+
+
+#: Keys that spread_join may broadcast at most, and rows of a key that are never too many for a task.
+HEAVY, LIGHT = 10_000, 2_000
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for the nodes of edges(u, v); a component is named by its least node.
 
     Large-star / small-star contraction: every round replaces edges by edges to the
     least neighbour, with partial aggregation before each shuffle, until only stars
-    are left.  No step gathers a component in one task.
+    are left.  A node with very many neighbours is met by a broadcast of its least one
+    (see spread_join), so no step gathers a hub's edges in one task.  Null ends and loops are
+    ignored.  Edges that aren't stars after ``rounds`` (a path of n nodes takes about log n)
+    raise an error.
     """
+    spark = edges.sparkSession
     e = stash(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
-            break
-        seen = now
+            release(spark)
+            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        seen, total = now, 2 * now[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("m", "u").alias("m"), "c")
+        large = spread_join(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before, e = e, stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        drop(before)
+    raise RuntimeError(f"components: edges are not stars after {rounds} rounds")

@@ -6,18 +6,28 @@ Representatives are posted under each coordinate-value pair.  A pair that shares
 least ``match`` of the coordinates must share one of any ``coords - match + 1``
 coordinates, so each representative keeps only its rarest such prefix; values that
 occur once fill the prefix first and cost nothing, which drops most documents.
-Long postings are not merged pair by pair: a star round first checks each document
-against the posting's pivot it collides with most, and components of checked links
-are formed.  Postings that lie in one component are settled and skipped.  Documents that
-the others chain together are dealt to bounded cells (pairs of blocks of a
-chain); a cell counts its collisions on the full shingle sets at once and returns
-a spanning forest of its links, so a group's pairs are never emitted.
-Every link is confirmed on the full shingle sets.
+
+Collisions in the prefixes are counted for each pair; pairs are then merged on their whole
+signatures, those with at least ``match`` equal coordinates are retained, and links
+are confirmed on the full shingle sets.  Pairs are formed in two rounds:
+
+* first each document with the one pivot (a posting's fixed member) it collides with most, which settles
+  large groups without emitting their pairs: components of the links found so far are
+  formed, and postings that lie in one component are skipped;
+* then, in postings that still hold several components, the pairs of members of different
+  components, for postings of up to ``POSTING`` members.  Longer ones are split into the documents
+  that they chain together; these are dealt to bounded cells (pairs of blocks of a chain), and
+  a cell counts its collisions on the full shingle sets at once and returns a spanning
+  forest of its links.  That is exact, and quadratic in such a chain.
 
 At ``coords=32, match=12`` a pair of similarity 0.85 (0.8) is missed by the
 prefix with probability below 1e-9 (1e-6).
 
-Null or empty text has an empty set and no links.  A null id is never linked; its
+Results are by id: rows that repeat an id with its text get equal results (all of them kept or
+none; the operator has one row per row), and an id that stands with several texts links with
+whatever any of its texts links with, so all its rows have one component.  Ties need no rule, as
+a component is named by its least id.  Null or empty text has an empty set and no links.  Texts of any
+length are read whole, block by block.  A null id is never linked; its
 row keeps a null component and is kept.  Extra columns are ignored.  An empty table
 gives an empty result.
 """
@@ -32,11 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import components, stash, table
+from .common import components, release, spread_join, stash, table
 
 #: Bounds of one side of a cell of documents compared in one piece.
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"
+#: Members of a posting whose pairs may be formed one by one.
+POSTING = 64
+SIGNATURE = "doc_id long, t long, n_shingles long, d1 long, d2 long, sig array<long>"
 
 
 def signature_batches(batches: Iterator[pa.RecordBatch], n: int, coords: int) -> Iterator[pa.RecordBatch]:
@@ -59,11 +71,11 @@ def signature_batches(batches: Iterator[pa.RecordBatch], n: int, coords: int) ->
                         sig[full, k] = np.minimum.reduceat((x ^ add[k]) * mult[k], first)
                     sig = K.mix64(sig ^ fold)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * coords, coords, dtype=np.int32)), pa.array(K.signed(sig).ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)).cast(pa.int64()), pa.array(size), pa.array(K.signed(d1)), pa.array(K.signed(d2)), lists], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)).cast(pa.int64()), batch.column(2).slice(at, len(sets)), pa.array(size), pa.array(K.signed(d1)), pa.array(K.signed(d2)), lists], ["doc_id", "t", "n_shingles", "d1", "d2", "sig"])
 
 
 def signatures(docs: DataFrame, n: int, coords: int) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(lambda it: signature_batches(it, n, coords), SIGNATURE)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(lambda it: signature_batches(it, n, coords), SIGNATURE)
 
 
 def _check(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -151,41 +163,93 @@ def _cells(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Ite
         yield done()
 
 
+def matched(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
+    """The pairs (u, v) whose signatures agree in at least match coordinates."""
+    one = pairs.select("u", "v").join(sigs.withColumnsRenamed({"rep": "u", "sig": "su"}), "u")
+    two = one.join(sigs.withColumnsRenamed({"rep": "v", "sig": "sv"}), "v")
+    equal = F.aggregate(F.zip_with("su", "sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return two.where(equal >= match).select("u", "v").distinct()
+
+
+def _posting_pairs(now: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v, hits): members of different components that meet in the listed postings, all of a bounded size."""
+    lists = now.join(keys, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "comp", "n"))).alias("xs"))
+    later = "filter(slice(xs, i + 2, size(xs)), y -> y.comp <> x.comp and {d} * least(x.n, y.n) >= {m} * greatest(x.n, y.n))".format(d=den, m=num)
+    pairs = lists.select(F.explode(F.expr(f"flatten(transform(xs, (x, i) -> transform({later}, y -> struct(x.rep as u, y.rep as v))))")).alias("p"))
+    return pairs.select("p.*").groupBy("u", "v").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _chain_links(now: DataFrame, keys: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links among the documents that long postings chain together, in bounded cells."""
+    chained = components(now.join(keys, "key").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    chained = stash(chained.withColumnsRenamed({"node": "doc_id", "component": "cluster"}).join(texts, "doc_id"), "clusters")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1))
+    cells = chained.join(chained.groupBy("cluster").agg(size.cast("int").alias("ways")), "cluster")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, ways - 1)")))
+    cells = cells.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "text")
+    cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    return cells.mapInArrow(lambda it: _cells(it, n, num, den), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, coords: int = 32, match: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (see the module)."""
+    spark = docs.sparkSession
     sigs = stash(signatures(docs, n, coords), "signatures")
-    reps = stash(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    least = F.min(F.struct("doc_id", "t")).alias("at")
+    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(least, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    reps = stash(reps.select("d1", "d2", F.col("at.doc_id").alias("rep"), "at.t", "n", "sig", "rows"), "classes")
     prefix = coords - match + 1
-    posts = reps.select("rep", F.explode("sig").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = posts.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("own"))
+    posts = reps.select("rep", "d1", "n", F.explode("sig").alias("key"))
+    shared = stash(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "postings")
+    own = spread_join(posts, shared.withColumn("size", F.col("c")), "key", coords * reps.count())
+    own = own.groupBy("rep", "d1", "n").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("own"))
     own = own.withColumn("need", F.size("own") + F.lit(prefix - coords)).where("need > 0")
-    pre = stash(own.select("rep", F.explode(F.expr("slice(own, 1, need)")).alias("x")).select("rep", "x.key"), "prefixes")
+    pre = stash(own.select("rep", "n", F.explode(F.expr("slice(own, 1, need)")).alias("x")).select("rep", "n", "x.key"), "prefixes")
+    release(spark)
 
-    pivots = pre.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hits = pre.join(pivots, "key").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("hits"))
+    pivots = pre.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    hits = spread_join(pre, pivots, "key", pre.count()).where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("hits"))
     star = hits.groupBy("rep").agg(F.max_by("pivot", F.struct("hits", "pivot")).alias("pivot"))
-    star = stash(star.select(F.col("rep").alias("u"), F.col("pivot").alias("v")), "star")
-    texts = stash(docs.select("doc_id", "text").join(pre.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    vectors = reps.select("rep", "sig")
+    star = stash(matched(star.select(F.col("rep").alias("u"), F.col("pivot").alias("v")), vectors, match), "star")
+    need = reps.join(pre.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "t")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(need, ["doc_id", "t"], "left_semi")
+    texts = stash(texts.dropDuplicates(["doc_id", "t"]).select("doc_id", "text"), "texts")
     links = stash(confirmed(star, texts, n, num, den), "links")
     comp = stash(components(links), "components")
 
-    now = pre.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("rep").alias("hub")).where("a <> b").select("key", "hub")
-    chained = components(now.join(mixed, "key").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    chained = stash(chained.withColumnsRenamed({"node": "doc_id", "component": "cluster"}).join(texts.dropDuplicates(["doc_id"]), "doc_id"), "clusters")
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), F.lit(1))
-    cells = chained.join(chained.groupBy("cluster").agg(size.cast("int").alias("ways")), "cluster")
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, ways - 1)")))
-    cells = cells.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "text")
-    cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    more = stash(cells.mapInArrow(lambda it: _cells(it, n, num, den), "u long, v long"), "more-links")
-    comp = components(links.unionByName(more))
-
-    named = reps.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    now = stash(pre.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "members")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).where("a <> b")
+    mixed = stash(mixed.select("key", "hub", "c"), "mixed")
+    pairs = _posting_pairs(now, mixed.where(f"c <= {POSTING}"), num, den)
+    more = stash(confirmed(stash(matched(pairs, vectors, match), "pairs"), texts, n, num, den), "more-links")
+    long = mixed.where(f"c > {POSTING}").select("key", "hub")
+    release(spark)
+    edges = [links, more]
+    if not long.isEmpty():
+        comp = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+        here = now.drop("comp").join(long, "key", "left_semi").join(comp, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        left = here.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key").join(long, "key")
+        edges.append(stash(_chain_links(here, left, texts, n, num, den), "chain-links"))
+
+    total, has = sigs.count(), F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = sigs.select("doc_id", "n_shingles", "d1", "d2")
+    named = spread_join(rows.where(has), reps.select("d1", "d2", "rep", F.col("rows").alias("c")), ["d1", "d2"], total).select("doc_id", "n_shingles", "rep")
+    named = stash(named.unionByName(rows.where(~has).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))), "named")
+    # Ids with several texts, of different classes or some of them empty.
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("rep").alias("k"), F.count(F.lit(1)).alias("m"))
+    several = several.where("a <> b or (k > 0 and k < m)").select("doc_id")
+    ties = stash(named.where("rep is not null").join(several, "doc_id", "left_semi").select("doc_id", "rep").distinct(), "ids-with-several-texts")
+    edges.append(ties.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e.select("u", "v"))
+    comp = components(every).withColumnRenamed("node", "rep")
+    classes = reps.groupBy("rep").agg(F.sum("rows").alias("c")).join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "c")
+    by_id = ties.join(classes, "rep").groupBy("doc_id").agg(F.min("component").alias("own"))
+    out = spread_join(named.where("rep is not null"), classes, "rep", total).select("doc_id", "n_shingles", "component")
+    alone = named.where("rep is null").join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component"))
+    out = out.unionByName(alone).withColumnRenamed("component", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

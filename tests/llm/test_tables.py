@@ -38,6 +38,14 @@ def test_components(spark):
     assert got == {x: root(x) for x in comp}
 
 
+def test_components_of_hubs_and_paths(spark):
+    star = spark.range(1, 100_000).selectExpr("id + 50000 as u", "7 as v")
+    path = spark.range(200_000, 210_000).selectExpr("id as u", "id + 1 as v")
+    got = common.components(star.unionByName(path)).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(7, 100_000), (200_000, 10_001)}
+    assert common.components(star.limit(0)).count() == 0
+
+
 def test_mixing_shares(spark):
     rows = [(i, "w " * 10, "en" if i % 2 else "de", f"src{i % 8}", 0) for i in range(800)] + [(None, None, None, None, None), (900, "", "fr", "odd", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"p": F.lit(1), "cap": F.lit("x")})

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.llm import decontaminate, kernel, near_dup, quality, shard, substring, tokens
+from docflow.llm import common, decontaminate, kernel, near_dup, quality, shard, substring, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig string"
 
@@ -81,9 +81,11 @@ def brute_components(rows, n, num, den):
     return {i: root(i) for i in ids}
 
 
-@pytest.mark.parametrize("n,num", [(3, 85), (5, 80)])
-def test_near_duplicates_brute(spark, docs, n, num, monkeypatch):
+@pytest.mark.parametrize("n,num,posting", [(3, 85, 64), (5, 80, 1)])
+def test_near_duplicates_brute(spark, docs, n, num, posting, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(near_dup, "POSTING", posting)  # 1: chains and cells settle what the stars leave
+    monkeypatch.setattr(common, "LIGHT", 3)
     got = near_dup.near_duplicates(docs, n, num, 100).collect()
     want = brute_components(corpus(), n, num, 100)
     assert len(got) == docs.count()
@@ -95,6 +97,16 @@ def test_near_duplicates_brute(spark, docs, n, num, monkeypatch):
     assert near_dup.near_duplicates(docs.limit(0), n, num, 100).count() == 0
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Repeated rows, and ids with several texts: every row of an id has the id's component."""
+    w, v, z = ("alpha beta gamma delta epsilon zeta eta theta " + x for x in ("one two three", "four five six seven", "eight nine ten eleven twelve"))
+    rows = [(1, w), (2, v), (2, w), (3, v), (5, z), (5, z), (6, z), (7, ""), (7, z), (8, None), (9, ""), (None, w), (None, None), (4, "x y")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    want = brute_components(rows, 3, 85, 100)
+    assert len(got) == len(rows) and want[3] == 1 and want[7] == 5
+    assert all(r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def brute_substrings(rows, length=13):
     first = {}
     key = lambda d: float("inf") if d is None else d
