@@ -10,7 +10,8 @@ stage against a brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from docflow.llm import decontaminate, mixing, near_dup, quality, shard
 from docflow.llm.common import stash, table
@@ -22,9 +23,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    """The least id of each near-duplicate group stays (five-word shingles, similarity 0.8).
+
+    Of several rows with that id the one whose columns hash least stays; rows with a null id all stay.
+    """
     gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").select("doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    one = left.join(again, "doc_id", "left_semi").withColumn("row in id", F.row_number().over(order)).where("`row in id` = 1").select(docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
