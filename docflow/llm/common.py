@@ -65,6 +65,12 @@ def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], total: i
 HEAVY, LIGHT = 10_000, 2_000
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("ups"), F.lit(0).alias("hub")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("ups"), F.lit(1).alias("hub")))
+    return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("hub").alias("hub")).where("ups > 1 or (ups = 1 and hub = 1)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for the nodes of edges(u, v); a component is named by its least node.
 
@@ -77,13 +83,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """
     spark = edges.sparkSession
     e = stash(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
     for _ in range(rounds):
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
+        if _stars(e):
             release(spark)
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen, total = now, 2 * now[0]
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("m", "u").alias("m"), "c")
         large = spread_join(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
