@@ -49,17 +49,30 @@ from .common import drop, fresh_path, release, stash, table
 
 GRAM = 7
 #: Anchors that a task packs at once, and that one bucket of the exchange holds on average.
-PACK, BUCKET = 1 << 19, 1 << 18
+PACK, BUCKET = 1 << 18, 1 << 18
 #: Bytes of automata broadcast at once, and words of reference text in one automaton at most.
 GROUP_BYTES, PART_WORDS = 48 << 20, 1 << 16
 #: Stretches of the documents per group on average, and shards of a group.
-GROUP_STRETCHES, SHARDS = 400_000, 32
+GROUP_STRETCHES, SHARDS = 250_000, 32
 #: Different stretches of an anchor above which its runs are dealt one by one.
 HOT = 4096
 _LAST = 2**63 - 1
 _KNOWN = 0xFFFFFFFF
 
 
+def _lean(mapper):
+    """The mapper; at its end the Python worker gives unused memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return run
+
+
 def _digest(h: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         odd = K.mix64(np.arange(1, len(h) + 1, dtype=np.uint64) * K.U64(K._BASE)) | K.U64(1)
@@ -180,16 +193,12 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, buckets: int, pack: in
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class (of the text) and places of the anchors that stand in two texts; rows come sorted by bucket."""
+    """class (of the text) and place of the anchors that stand in two texts; rows come sorted by bucket."""
     now, held = None, []
 
     def places(own: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(own):
-            order = np.lexsort((pos, own))
-            own, pos = own[order], pos[order]
-            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(pos.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]]), lists], ["class", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pos.astype(np.int32))], ["class", "place"])
 
     def done() -> Iterator[pa.RecordBatch]:
         anchor, own, pos, told = (np.concatenate(x) for x in zip(*held))
@@ -202,7 +211,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from places(own[keep], pos[keep])
 
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
             texts, at, pos = np.frombuffer(r["texts"], np.int64), _unplanes(r["own"], 4), _unplanes(r["pos"], 4)
             told = at == _KNOWN
             own = texts[np.where(told, 0, at).astype(np.int64)]
@@ -451,16 +460,11 @@ def _build(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
         yield done()
 
 
-_loaded: list = [None, None]
-
-
 def _stream(batches: Iterator[pa.RecordBatch], group, length: int) -> Iterator[pa.RecordBatch]:
     """key and spans of the runs that the broadcast automata hold under a smaller id than doc_id."""
     schema = pa.schema([("key", pa.int64()), ("spans", pa.list_(pa.int32()))])
     for batch in batches:
-        if _loaded[0] != group.value[0]:
-            _loaded[:] = [group.value[0], Shards([Automaton.load(b) for _, b in group.value[1]])]
-        shards, of = _loaded[1], np.array([s for s, _ in group.value[1]])
+        shards, of = group.value
         key, doc, start = (batch.column(c).to_numpy() for c in (1, 2, 3))
         raw, off = K.utf8(batch.column(4))
         shard = batch.column(0).to_numpy()
@@ -546,18 +550,20 @@ def _held(spark: SparkSession, stretches: str, groups: int, length: int) -> Data
         cold = own.join(hot, "anchor", "left_anti") if any_hot else own
         dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), *columns)
         if any_hot:
-            dealt = dealt.unionByName(own.join(hot, "anchor", "left_semi").select(columns).mapInArrow(lambda it: _deal(it, length, shards), DEALT))
+            dealt = dealt.unionByName(own.join(hot, "anchor", "left_semi").select(columns).mapInArrow(_lean(lambda it: _deal(it, length, shards)), DEALT))
         reference = dealt.groupBy("shard", "words").agg(F.min("doc_id").alias("least"))
-        built = reference.repartition("shard").sortWithinPartitions("shard").select("shard", "words", "least").mapInArrow(lambda it: _build(it, limit), BUILT)
+        built = reference.repartition("shard").sortWithinPartitions("shard").select("shard", "words", "least").mapInArrow(_lean(lambda it: _build(it, limit)), BUILT)
         built = stash(built.withColumn("part", F.monotonically_increasing_id()), "automata")
         listed = built.select("shard", "part", "size").orderBy("shard", "part").collect()
         for a, b in _rounds([r.size for r in listed]):
-            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).toArrow()
-            parts = [(r["shard"], [r[f"a{i}"] for i in range(len(_KINDS))]) for batch in rows.to_batches(1) for r in batch.to_pylist()]
-            del rows
-            sent = spark.sparkContext.broadcast((f"{found}-{g}-{a}", parts))
-            del parts
-            dealt.mapInArrow(lambda it, sent=sent: _stream(it, sent, length), "key long, spans array<int>").write.mode("append").parquet(found)
+            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).orderBy("shard", "part").toArrow()
+            of = rows.column("shard").to_numpy()
+            blobs = [rows.column(f"a{i}") for i in range(len(_KINDS))]
+            group = Shards([Automaton.load([c[i].as_buffer() for c in blobs]) for i in range(len(of))])
+            del rows, blobs
+            sent = spark.sparkContext.broadcast((group, of))
+            del group
+            dealt.mapInArrow(_lean(lambda it, sent=sent: _stream(it, sent, length)), "key long, spans array<int>").write.mode("append").parquet(found)
             sent.destroy()
         drop(built)
         release(spark)
@@ -569,23 +575,23 @@ def substring_spans(docs: DataFrame, length: int = 13) -> tuple[DataFrame, DataF
     reps(doc_id, t1, t2, key): a text of each key under its least id;
     spans(key, spans): begin and end of each span of words of the key's text to remove."""
     spark, d = docs.sparkSession, _texts(docs)
-    seen = stash(d.mapInArrow(_overview, "doc_id long, t1 long, t2 long, n_words long, d1 long, d2 long, sha string"), "overview")
+    seen = stash(d.mapInArrow(_lean(_overview), "doc_id long, t1 long, t2 long, n_words long, d1 long, d2 long, sha string"), "overview")
     least = seen.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("at"))
     reps = stash(least.select("d1", "d2", "at.*", F.monotonically_increasing_id().alias("key")), "reps")
 
     n_words = seen.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(8, -(-2 * n_words // ((length - GRAM + 2) * BUCKET)))
     pack = PACK
-    packed = d.select("text").mapInArrow(lambda it: _pack(it, length, buckets, pack), PACKED)
-    places = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "class long, places array<int>")
-    places = places.groupBy("class").agg(F.flatten(F.collect_list("places")).alias("places"))
+    packed = d.select("text").mapInArrow(_lean(lambda it: _pack(it, length, buckets, pack)), PACKED)
+    places = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lean(_repeated), "class long, place int")
+    places = places.groupBy("class").agg(F.collect_list("place").alias("places"))
     spots = stash(places.join(reps.withColumnRenamed("d1", "class"), "class").select("doc_id", "t1", "t2", "key", "places"), "places")
     release(spark)
 
     groups = max(1, -(-(spots.agg(F.sum(F.size("places"))).first()[0] or 0) // GROUP_STRETCHES))
     near = d.join(spots, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "places")
     path = fresh_path(spark, "stretches")
-    near.mapInArrow(lambda it: _stretches(it, length, groups), STRETCHES).write.option("compression", "zstd").partitionBy("group").parquet(path)
+    near.mapInArrow(_lean(lambda it: _stretches(it, length, groups)), STRETCHES).write.option("compression", "zstd").partitionBy("group").parquet(path)
     release(spark)
     if not spots.isEmpty():
         found = _held(spark, path, groups, length).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -598,7 +604,7 @@ def substring_spans(docs: DataFrame, length: int = 13) -> tuple[DataFrame, DataF
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
     seen, reps, spans = substring_spans(docs, length)
-    cut = _texts(docs).join(spans.join(reps, "key"), ["doc_id", "t1", "t2"]).select("key", "text", "spans").mapInArrow(_removed, "key long, removed long, kept string")
+    cut = _texts(docs).join(spans.join(reps, "key"), ["doc_id", "t1", "t2"]).select("key", "text", "spans").mapInArrow(_lean(_removed), "key long, removed long, kept string")
     cut = cut.groupBy("key").agg(F.first("removed").alias("removed"), F.first("kept").alias("kept"))
     copy = F.col("rep").isNotNull() & (F.col("rep") != F.col("doc_id"))
     out = seen.join(cut, "key", "left")
