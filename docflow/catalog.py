@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: list[str] = ["docflow.queries_text", "docflow.queries_state", "docflow.queries_diag", "docflow.queries_io"]
+_MODULES: list[str] = ["docflow.queries_text", "docflow.queries_state", "docflow.queries_diag", "docflow.queries_io", "docflow.queries_saves"]
 
 
 def queries() -> dict:

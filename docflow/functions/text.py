@@ -258,3 +258,68 @@ def is_safe_relative_path(c: Column) -> Column:
 
 def is_event_stream(c: Column) -> Column:
     return c.rlike(rf"(?m)^{WS}*data:")
+
+
+def is_unscoped_page_path(path: Column) -> Column:
+    """A page path from before paths had a language; false for null."""
+    return F.coalesce(path.rlike(r"(?s)\Apdf-pages/page-.*\.pdf\z"), F.lit(False))
+
+
+def is_trusted_language(lang: Column) -> Column:
+    """Chinese of any region, whose old page files need no check."""
+    return F.coalesce(ascii_lower(trim(lang)).rlike(r"\Azh(-|\z)"), F.lit(False))
+
+
+#: Parts of a worker's line that tell a failed translation (fixed values).
+WORKER_ERRORS = ["rwkv 翻译失败", "exceeds the available context size", "exceed_context_size_error"]
+#: Stands before the last error in a worker's line, and in place of an empty one (fixed values).
+LAST_ERROR, UNKNOWN_ERROR = "最后错误：", "未知错误"
+#: Labels of the languages on offer (fixed values).
+LABELS = {"en": "英文", "zh-CN": "简体中文"}
+
+
+def is_worker_error(line: Column) -> Column:
+    low, out = ascii_lower(line), F.lit(False)
+    for part in WORKER_ERRORS:
+        out = out | F.coalesce(low.contains(part), F.lit(False))
+    return out
+
+
+def last_error(line: Column) -> Column:
+    """What follows the last marker; the whole line without one."""
+    return trim(F.substring_index(trim(line), LAST_ERROR, -1))
+
+
+def short_error(message: Column, size: int = 240) -> Column:
+    """The last line, cut to size characters."""
+    t = trim(message)
+    return F.when(t == "", UNKNOWN_ERROR).otherwise(F.left(F.element_at(F.split(t, "\n"), -1), F.lit(size)))
+
+
+def worker_language(lang: Column) -> Column:
+    return F.when(lang.isin("zh-CN", "zh-TW", "zh"), "zh").otherwise(lang)
+
+
+def language_label(value: Column) -> Column:
+    return F.coalesce(*[F.when(value == k, v) for k, v in LABELS.items()], value)
+
+
+def worker_service(provider: Column, batch: str, single: str, force_single: bool = False) -> Column:
+    """Name of the service that serves a provider: only the lightning one takes batches."""
+    return F.lit(single) if force_single else F.when(provider == "lightning", batch).otherwise(single)
+
+
+def source_language(lang: Column, default: str = "en") -> Column:
+    """lang, or the default where it is missing, empty or ``auto``."""
+    return F.coalesce(F.nullif(F.nullif(lang, F.lit("")), F.lit("auto")), F.lit(default))
+
+
+def stored_languages(by_job: Column, default: str = "en") -> Column:
+    """map<job, struct<source, target>> with ``auto`` sources replaced; null stays null."""
+    return F.transform_values(by_job, lambda _, x: F.struct(F.when(x["source"] == "auto", default).otherwise(x["source"]).alias("source"), x["target"].alias("target")))
+
+
+def logged_prompt(raw: Column, text: Column, source: Column, target: Column) -> Column:
+    """The prompt of a logged response if it has one that isn't blank, else the one rebuilt from the text."""
+    logged = F.try_variant_get(F.try_parse_json(raw), "$.prompt", "string")
+    return F.coalesce(F.when(~is_blank(logged), logged), prompt(F.coalesce(text, F.lit("")), source, target))

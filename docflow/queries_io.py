@@ -74,11 +74,6 @@ def src_10_11_job_bundle(spark, d):
     return folders.bundle(rollup.jobs(s), s, F.lit("job-src3")).select("job_id", F.size("segments").cast("long").alias("n"))
 
 
-@query("SELECT event_type AS app, count(*) AS n FROM events WHERE event_type = 'view' AND value > 10 AND user_id IS NOT NULL GROUP BY event_type")
-def src_14_release_lookup(spark, d):
-    return table(spark, d, "events").where("event_type = 'view' and value > 10 and user_id is not null").groupBy(F.col("event_type").alias("app")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT doc_id % 50 AS file_no, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY doc_id % 50")
 def snk_04_export_files(spark, d):
     """All documents exported to fifty folders and read back."""
