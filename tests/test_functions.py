@@ -107,7 +107,7 @@ def test_chunker():
     assert C.chunks("", p) == [""]
     assert C.chunks("Short text.", p) == ["Short text."]
     assert C.sentence_units("See Fig. 1 now. It is 3.14 wide! Yes") == ["See Fig. 1 now.", "It is 3.14 wide!", "Yes"]
-    assert C.with_labels(["Figure 1.", "A cat.", "End."]) == ["Figure 1. A cat.", "End."]
+    assert C.semantic_units("Figure 1. A cat. End.") == ["Figure 1. A cat.", "End."]
     assert C.reference_units("lost [1] A. [2] B") == ["[1] A.", "[2] B"]
     assert C.normalise("trans-\n lation well-Known") == "translation well-Known"
     rng = random.Random(1)
