@@ -6,7 +6,8 @@ proportion to size gives the splitters: its quantiles bound key ranges of about
 bytes.  Ranges that turn out overfull are sampled again and subdivided.  The exact
 bytes and rows before each range come from one small aggregation, the position inside
 a range from a window over that range only, and the shard of a row is the n-th part of
-all bytes in which the row's middle lies (law ``bytes``).
+all bytes in which the row's middle lies (law ``bytes``).  A group of equal texts is divided only
+where a shard ends, so at most ``shards - 1`` groups lie in more than one shard.
 
 Bounds: the sample is about ``32 * ranges`` keys of 16 bytes with
 ``ranges <= max_ranges``; splitters and range totals have ``ranges`` rows and are the

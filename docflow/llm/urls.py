@@ -14,6 +14,7 @@ pieces.  Rule paths' lengths are at most ``max_lengths`` different ones, checked
 rule table is joined by key and never broadcast by hand; a key that a third of all URLs hit is
 one row on the rule side, so the join can be split on the URL side.
 
+Of rules with one key and several verdicts the last by name decides, so ``block`` before ``allow``.
 A null URL, or one without ``://``, has empty host and path and no rule.  Repeated rows and
 null ids keep their rows.  An empty table gives an empty result; without rules
 everything is allowed.

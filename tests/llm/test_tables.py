@@ -1,11 +1,14 @@
 """SQL parity, mixing, URL rules, vectors, and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docflow.llm import common, mixing, registry, urls, vectors
+from tests.llm.test_texts import brute_components
 from tests.oracle import SF, agree
 
 Q, O = registry.queries(), registry.oracle_sql()
@@ -141,3 +144,25 @@ def test_pipeline_stages(spark):
     assert last.count() == seen.count() and last.select("shard").distinct().count() <= 40
     run = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in run.collect()) == sorted(r.doc_id for r in last.collect())
+
+
+def test_pipeline_removals_against_brute_force(spark):
+    """The near-dedup and decontamination stages on a whole table, with repeated rows and null ids added."""
+    docs = common.table(spark, SF, "documents")
+    some = docs.where("doc_id < 20")
+    docs = docs.unionByName(some).unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    comp = brute_components(rows, 5, 80, 100)
+    kept = corpus_pipeline.deduplicate(spark, docs, SF)
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(i for i in comp if comp[i] == i)
+    assert ids.count(None) == sum(i is None for i, _ in rows)
+
+    def grams(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    items = [grams(r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    leaks = {i for i, t in rows for g in [grams(t)] for q in items if i is not None and q and 100 * len(q & g) >= 80 * len(q)}
+    left = {r.doc_id for r in corpus_pipeline.remove_leaks(spark, docs, SF).select("doc_id").collect()}
+    assert left == {i for i, _ in rows} - leaks and leaks

@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import random
 
 import pytest
@@ -32,6 +34,38 @@ def test_salvage_skips_damage(pack):
     assert parts(b"") == ([], []) and parts(b"only junk")[1] == [(0, 9)]
 
 
+def test_foreign_digests_and_headers():
+    """Base16 and lower-case base32 digests, other algorithms, folded header lines, chunked bodies."""
+    body = b"payload of a page"
+    right, wrong = hashlib.sha1(body), hashlib.sha1(b"another")
+
+    def made(digest, http=b"HTTP/1.1 200 OK\r\nX: y"):
+        block = http + b"\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date:\r\n 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return list(W.salvage(head.encode() + block + b"\r\n\r\n"))
+
+    base32 = lambda h: base64.b32encode(h.digest()).decode()
+    good = ["sha1:" + base32(right), "SHA1:" + base32(right).lower(), "sha1:" + right.hexdigest(), "sha1:" + right.hexdigest().upper(), "md5:whatever"]
+    for digest in good:
+        (r,) = made(digest)
+        assert isinstance(r, W.Record) and r.headers["warc-date"] == "2024-01-01T00:00:00Z"
+    for digest in ("sha1:" + base32(wrong), "sha1:" + wrong.hexdigest(), "sha1:short"):
+        assert not any(isinstance(x, W.Record) for x in made(digest))
+        assert isinstance(made(digest, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked")[0], W.Record)
+
+
+def test_query_against_recomputed_table(spark):
+    """Every row of op4 over a whole table, from the payloads themselves."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    payload = {r.page_id: (r.html or "").encode() for r in rows}
+    first = {}
+    for i in sorted(payload):
+        first.setdefault(payload[i], i)
+    want = {i: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in payload.items()}
+    got = W.op4_warc_salvage(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows) and {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+
+
 def test_salvage_random_damage_never_invents_records():
     rng = random.Random(1)
     items = [W.member(rec(i, "x" * rng.randint(0, 3000))) for i in range(20)]
