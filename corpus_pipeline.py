@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 all but the last return the columns of ``documents``.  ``run`` writes each stage to a
 table in the shared folder and reads it again as the next one's input.
 
-SQL can't express the fitted classifier, so there is no ORACLE_SQL; tests hold each
-stage against a brute-force version.
+SQL can't express the fitted classifier, so there is no ORACLE_SQL.  Tests hold near-dedup and
+decontamination against a brute-force version on a whole table; the classifier is tested on held-out labels,
+mixing and sharding by their shares, sizes and slots.
 """
 
 from __future__ import annotations
