@@ -45,15 +45,9 @@ def segments(text: Column, limit: int = MAX_SEGMENT) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Runs of non-blank lines, joined by line ends and trimmed."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"))
-    close = lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], T.trim(F.array_join(a["cur"], "\n")))).otherwise(a["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        blank = T.is_blank(line)
-        return F.struct(F.when(blank, close(acc)).otherwise(acc["done"]).alias("done"), F.when(blank, F.array().cast("array<string>")).otherwise(F.array_append(acc["cur"], line)).alias("cur"))
-
-    return F.aggregate(lines(text), start, step, close)
+    """Runs of non-blank lines, joined by line ends and trimmed: one split at the blank lines between them."""
+    parts = F.split(F.regexp_replace(text, "\r?\n", "\n"), f"\n[{T.BLANK}]*\n")
+    return F.filter(F.transform(parts, T.trim), lambda p: p != "")
 
 
 def paragraph_islands(docs: DataFrame) -> DataFrame:

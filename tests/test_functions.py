@@ -22,6 +22,25 @@ def test_paragraphs_and_segments(spark):
     assert one(spark, G.segments(F.lit(""))) == [""]
 
 
+def test_paragraphs_against_model(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b c", "\n", "\n", "\r\n", " ", "\t", "\r", "　"]) for _ in range(rng.randint(0, 16))) for _ in range(400)] + ["", "x\n" * 20_000 + "\n" * 20_000 + "y"]
+    blank = "\t\n\x0b\x0c\r \x85\xa0　"
+
+    def model(t):
+        out, run = [], []
+        for line in [*re.split("\r?\n", t), ""]:
+            if line.strip(blank):
+                run.append(line)
+            elif run:
+                out.append("\n".join(run).strip(blank))
+                run = []
+        return out
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", G.paragraphs(F.col("t")).alias("x")).collect()
+    assert all(r.x == model(r.t) for r in got)
+
+
 def test_markdown_precedence(spark):
     text = "# T\n\npara one\ntwo\n- item\n. x\n```\n# code\n~~~\n> q\nhttps://x.y\n####### no\n```\nopen"
     kinds = [b.block_type for b in one(spark, G.markdown_blocks(F.lit(text)))]
