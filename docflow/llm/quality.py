@@ -107,7 +107,7 @@ def grade(quality="quality", toxic="toxic"):
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 1e-3, l2: float = 1e-5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, min_df: int = 3, max_features: int = 1 << 14, steps: int = 400, l1: float = 5e-4, l2: float = 1e-5) -> Model | None:
     rated = labels.select("doc_id", grade().alias("grade")).where("grade is not null and doc_id is not null")
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = stash(docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select(F.col("grade").cast("long"), "text"), "sample")
@@ -190,7 +190,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, floor: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(2 - below.sum(1)), pa.array(tail), pa.array(tail >= floor)], [*batch.schema.names[2:], "expected_grade", "p_good", "keep"])
 
 
-def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor: float = 0.75) -> DataFrame:
     """keep_columns of docs with expected_grade, p_good and keep, in one pass without a shuffle."""
     if model is None:
         return docs.select(*keep_columns).withColumns({"expected_grade": F.lit(None).cast("double"), "p_good": F.lit(None).cast("double"), "keep": F.lit(True)})
@@ -200,7 +200,7 @@ def scored(docs: DataFrame, model: Model | None, keep_columns: list[str], floor:
     return given.mapInArrow(lambda it: _score(it, shared, floor), f"{kinds}, expected_grade double, p_good double, keep boolean")
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, floor: float = 0.5) -> DataFrame:
+def select_quality(docs: DataFrame, labels: DataFrame, floor: float = 0.75) -> DataFrame:
     """The rows of docs, own columns only, that the classifier keeps."""
     cols = docs.columns
     packed = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row_"))
