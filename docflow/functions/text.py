@@ -128,9 +128,9 @@ def preview(c: Column, size: int = 400) -> Column:
     return F.replace(F.replace(F.left(c, F.lit(size)), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
 
 
-def redact(c: Column, secrets: list[str], mask: str = "[redacted]") -> Column:
+def redact(c: Column, secrets: list[str], mask: str = "<redacted>") -> Column:
     for s in secrets:
-        if s.strip():
+        if s:
             c = F.replace(c, F.lit(s), F.lit(mask))
     return c
 

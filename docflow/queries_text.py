@@ -243,9 +243,9 @@ def str_12_last_user_message(spark, d):
     return c.select("conv_id", T.message_text(F.col("m")).alias("text")).where("text is not null")
 
 
-@query("SELECT doc_id, replace(replace(replace(left(text, 400), 'the', '[redacted]'), chr(10), '\\n'), chr(13), '\\r') AS preview FROM documents")
+@query("SELECT doc_id, replace(replace(left(replace(text, 'the', '<redacted>'), 400), chr(10), '\\n'), chr(13), '\\r') AS preview FROM documents")
 def str_13_preview(spark, d):
-    return docs(spark, d).select("doc_id", T.preview(T.redact(F.left("text", F.lit(400)), ["the", " "]), 10_000).alias("preview"))
+    return docs(spark, d).select("doc_id", T.preview(T.redact(F.col("text"), ["the", ""])).alias("preview"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN array_to_string(p, ' ') ELSE array_to_string(p, '') END AS joined FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS p FROM documents)")
