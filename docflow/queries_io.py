@@ -40,7 +40,7 @@ def snk_02_10_bundle(spark, d):
     return spark.read.parquet(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "done").alias("done"))
 
 
-@query("SELECT user_id AS run_id, count(*) AS n FROM events WHERE user_id < 50 GROUP BY user_id")
+@query("SELECT user_id AS run_id, count(*) AS n FROM events GROUP BY user_id")
 def snk_07_08_src_08_append_log(spark, d):
     path = folders.scratch(spark, "log")
     e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id")
