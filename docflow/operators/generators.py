@@ -62,51 +62,70 @@ def paragraph_islands(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("island")).alias("paragraph"), "text")
 
 
+def _with(value: Column, body) -> Column:
+    """body of a value that is computed once for the row, not at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def markdown_blocks(text: Column) -> Column:
     """Blocks of Markdown in order: fence, code, blank, heading, list, quote, URL, paragraph.
 
     Any fence line opens or closes code; code left open is closed at the end; every blank line is
-    a block of its own that is not translated.
+    a block of its own that is not translated.  Lines are cut at every second pair of fences and,
+    between them, at each line that is no paragraph's: work is linear in the lines.
     """
     none = F.lit(None).cast("string")
-    empty = F.array().cast("array<string>")
 
     def block(kind: str, marker: Column, body: Column, translate: bool) -> Column:
         return F.struct(F.lit(kind).alias("block_type"), marker.alias("marker"), body.alias("text"), F.lit(translate).alias("translate"))
 
-    def flushed(acc: Column) -> Column:
-        return F.when(F.size(acc["par"]) > 0, F.array_append(acc["done"], block("paragraph", none, T.trim(F.array_join(acc["par"], "\n")), True))).otherwise(acc["done"])
-
-    def state(done: Column, par: Column, code: Column, inside: Column) -> Column:
-        return F.struct(done.alias("done"), par.alias("par"), code.alias("code"), inside.alias("inside"))
-
-    def step(acc: Column, line: Column) -> Column:
-        t = T.trim(line)
-        fence = t.rlike("^(```|~~~)")
-        code = F.array_append(acc["code"], line)
-        closed = F.array_append(flushed(acc), block("code", none, F.array_join(code, "\n"), False))
-        head, item = T.heading(line), T.list_item(line)
-        one = (
-            F.when(t == "", block("metadata", none, F.lit(""), False))
-            .when(head.isNotNull(), block("heading", head["marker"], head["text"], True))
-            .when(item.isNotNull(), block("list_item", item["marker"], item["text"], True))
-            .when(T.is_quote(line), block("blockquote", none, T.trim(F.substr(t, F.lit(2))), True))
-            .when(T.is_url(t), block("url", none, t, False))
-        )
-        return (
-            F.when(fence & acc["inside"], state(closed, empty, empty, F.lit(False)))
-            .when(fence, state(flushed(acc), empty, code, F.lit(True)))
-            .when(acc["inside"], state(acc["done"], acc["par"], code, F.lit(True)))
-            .when(one.isNotNull(), state(F.array_append(flushed(acc), one), empty, acc["code"], F.lit(False)))
-            .otherwise(state(acc["done"], F.array_append(acc["par"], line), acc["code"], F.lit(False)))
-        )
+    def positions(xs: Column) -> Column:
+        return F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def finish(acc: Column) -> Column:
-        done = flushed(acc)
-        return F.when(F.size(acc["code"]) > 0, F.array_append(done, block("code", none, F.array_join(acc["code"], "\n"), False))).otherwise(done)
+    def own_block(line: Column) -> Column:
+        """The block of a line that stands alone; null for a line of a paragraph."""
+
+        def kinds(t: Column) -> Column:
+            head, item = T.heading(line), T.list_item(line)
+            return (
+                F.when(t == "", block("metadata", none, F.lit(""), False))
+                .when(head.isNotNull(), block("heading", head["marker"], head["text"], True))
+                .when(item.isNotNull(), block("list_item", item["marker"], item["text"], True))
+                .when(T.is_quote(line), block("blockquote", none, T.trim(F.substr(t, F.lit(2))), True))
+                .when(T.is_url(t), block("url", none, t, False))
+            )
+
+        return kinds(T.trim(line))
+
+    def prose(ls: Column) -> Column:
+        """Blocks of lines without fences."""
+
+        def cut(owns: Column) -> Column:
+            starts = F.filter(positions(ls), lambda i: (i == 0) | F.get(owns, i).isNotNull() | F.get(owns, i - 1).isNotNull())
+
+            def run(s: Column, after: Column) -> Column:
+                return F.coalesce(F.get(owns, s), block("paragraph", none, T.trim(F.array_join(F.slice(ls, s + 1, after - s), "\n")), True))
+
+            return _with(starts, lambda st: F.transform(st, lambda s, j: run(s, F.coalesce(F.get(st, j + 1), F.size(ls)))))
+
+        return _with(F.transform(ls, own_block), cut)
+
+    def cut_code(ls: Column, fences: Column) -> Column:
+        def piece(k: Column) -> Column:
+            """Prose before the k-th code (0 on), then the code, if there is one."""
+            opened, last = F.get(fences, 2 * k), F.coalesce(F.get(fences, 2 * k + 1), F.size(ls) - 1)
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.coalesce(F.get(fences, 2 * k - 1) + 1, F.size(ls)))
+            code = F.array(block("code", none, F.array_join(F.slice(ls, opened + 1, last - opened + 1), "\n"), False))
+            before = _with(F.slice(ls, begin + 1, F.coalesce(opened, F.size(ls)) - begin), prose)
+            return F.when(opened.isNull(), before).otherwise(F.concat(before, code))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.size(fences) / 2).cast("int")), piece))
+
+    def whole(ls: Column) -> Column:
+        fences = F.filter(positions(ls), lambda i: T.trim(F.get(ls, i)).rlike("^(```|~~~)"))
+        return _with(fences, lambda fs: cut_code(ls, fs))
 
-    start = state(F.array().cast(f"array<{BLOCK}>"), empty, empty, F.lit(False))
-    return F.aggregate(lines(text), start, step, finish)
+    return F.when(text.isNotNull(), _with(lines(text), whole))
 
 
 def text_blocks(text: Column) -> Column:
