@@ -323,3 +323,32 @@ def logged_prompt(raw: Column, text: Column, source: Column, target: Column) ->
     """The prompt of a logged response if it has one that isn't blank, else the one rebuilt from the text."""
     logged = F.try_variant_get(F.try_parse_json(raw), "$.prompt", "string")
     return F.coalesce(F.when(~is_blank(logged), logged), prompt(F.coalesce(text, F.lit("")), source, target))
+
+
+#: What cleaning a job folder removes (fixed values): folders, files, and JSON files by the start of their name.
+ARTIFACT_FOLDERS = ("pdf-pages", "translated-pages", "pdf2zh-output", ".tmp")
+ARTIFACT_FILES = ("pdf_source.json", "pdf_page_translations.json", "exports/translated.pdf")
+ARTIFACT_STARTS = ("pdf_page_translations.", "pdf_pages.", "pdf_run.")
+
+
+def is_translation_artifact(path: Column) -> Column:
+    """Whether a path inside a job folder is a page translation's artifact or state."""
+    starts = F.lit(False)
+    for s in ARTIFACT_STARTS:
+        starts = starts | path.startswith(s)
+    state = starts & path.endswith(".json") & ~path.contains("/")
+    return F.coalesce(F.substring_index(path, "/", 1).isin(*ARTIFACT_FOLDERS) | path.isin(*ARTIFACT_FILES) | state, F.lit(False))
+
+
+def page_artifact_paths(lang: Column, page: Column, path: Column) -> Column:
+    """Where a page's artifact may lie, newest place first: by language, in the two older layouts, as recorded if safe."""
+    own = page_path(lang, page)
+    name = F.substring_index(own, "/", -1)
+    old = F.concat(F.lit("pdf-pages/"), language_dir(lang), F.lit("/"), name)
+    return F.array_distinct(F.array_compact(F.array(own, old, F.concat(F.lit("pdf-pages/"), name), F.when(is_safe_relative_path(path), path))))
+
+
+def is_compression_leftover(name: Column, lang: Column, page: Column) -> Column:
+    """Whether a file name is a temporary file or backup of compressing the page."""
+    start = F.concat(F.lit("."), F.substring_index(page_path(lang, page), "/", -1), F.lit("."))
+    return name.startswith(start) & (name.contains(".compressing.tmp.pdf") | name.contains(".precompress.bak"))

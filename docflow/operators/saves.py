@@ -86,3 +86,18 @@ def clear_pages(pages: DataFrame, gone: DataFrame) -> DataFrame:
     known = pages.join(reset.select("job_id", "page_number"), ["job_id", "page_number"], "left_semi").select("job_id", "page_number", F.col("bytes").alias("bytes_"))
     reset = reset.join(known, ["job_id", "page_number"], "left").withColumn("bytes", F.col("bytes_")).select([*pages.columns, "seq"])
     return state.upsert_pages(pages, reset)
+
+
+def blank_jobs(titles: DataFrame, now: Column) -> DataFrame:
+    """Job and document rows of blank text documents with the given (job_id, title): one empty file, English to Chinese."""
+    name = F.concat(T.file_stem(F.col("title")), F.lit(".txt"))
+    row = titles.select("job_id", name.alias("filename"), F.lit("txt").alias("format"), F.lit("en").alias("source_lang"), F.lit("zh-CN").alias("target_lang"))
+    return starter_jobs(row, now)
+
+
+def starter_jobs(rows: DataFrame, now: Column, existing: DataFrame | None = None) -> DataFrame:
+    """Ready jobs for (job_id, filename, format, source_lang, target_lang); a job that exists already is left as it is."""
+    new = rows if existing is None else rows.join(existing.select("job_id"), "job_id", "left_anti")
+    out = new.select("job_id", F.concat(F.lit("document-"), "job_id").alias("document_id"), "filename", "format", "source_lang", "target_lang")
+    out = out.withColumns({"status": F.lit("ready"), "file_count": F.lit(1).cast("long"), "created_at": now, "updated_at": now})
+    return out.withColumns({c: F.lit(0).cast("long") for c in rollup.COUNTS[:3]})

@@ -9,7 +9,10 @@ from docflow.functions import text as T
 from docflow.operators import generators as G
 from docflow.operators import rollup, saves
 from docflow.queries_state import _COUNTS, _FILES, _PSUM, _STATE, all_files
+from docflow.queries_text import ORACLE as _TEXT_SQL
 from docflow.queries_text import _LANG_CASE, _MD, marked
+from docflow.sources import folders, sinks
+from docflow.streaming import pages as stream_pages
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +169,47 @@ def src_14_newest_release(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("app"), F.concat(F.lit("1."), (e % 7).cast("string"), F.lit("."), (e % 11).cast("string")).alias("version"), (e % 3 > 0).alias("is_published"))
     newest = F.max_by(F.struct("version", "event_id"), F.struct(T.semver_key(F.col("version")), -e)).alias("r")
     return rows.where(F.col("is_published") & F.col("user_id").isNotNull()).groupBy("app").agg(newest).select("app", "r.version", "r.event_id")
+
+
+@query(f"SELECT 'job-' || page_id AS job_id, 'document-job-' || page_id AS document_id, stem || '.txt' AS filename, 'txt' AS format, 'en' AS source_lang, 'zh-CN' AS target_lang, 'ready' AS status, CAST(1 AS BIGINT) AS file_count, CAST(0 AS BIGINT) AS segment_count FROM ({_TEXT_SQL['str_04_file_stem']})")
+def src_15_blank_documents(spark, d):
+    titles = table(spark, d, "pages").select(F.concat(F.lit("job-"), F.col("page_id").cast("string")).alias("job_id"), F.col("url").alias("title"))
+    return saves.blank_jobs(titles, F.lit("9")).select("job_id", "document_id", "filename", "format", "source_lang", "target_lang", "status", "file_count", "segment_count")
+
+
+_ARTIFACT = "CASE page_id % 13 WHEN 0 THEN 'pdf-pages/zh/page-0001.pdf' WHEN 1 THEN 'translated-pages' WHEN 2 THEN '.tmp/x' WHEN 3 THEN 'pdf2zh-output' WHEN 4 THEN 'pdf_source.json' WHEN 5 THEN 'pdf_run.' || CAST(page_id AS VARCHAR(20)) || '.json' WHEN 6 THEN 'pdf_pages.zh.json' WHEN 7 THEN 'pdf_run.zh.txt' WHEN 8 THEN 'exports/translated.pdf' WHEN 9 THEN 'exports/other.pdf' WHEN 10 THEN 'pdf_page_translations.json' WHEN 11 THEN 'kept/pdf_run.a.json' ELSE NULL END"
+
+
+@query(f"SELECT page_id, coalesce(regexp_matches(path, '^(pdf-pages|translated-pages|pdf2zh-output|[.]tmp)(/|$)') OR path IN ('pdf_source.json', 'pdf_page_translations.json', 'exports/translated.pdf') OR regexp_matches(path, '^(pdf_page_translations|pdf_pages|pdf_run)[.][^/]*json$') AND ends_with(path, '.json'), false) AS removed FROM (SELECT page_id, {_ARTIFACT} AS path FROM pages)")
+def snk_14_removed_artifacts(spark, d):
+    x = table(spark, d, "pages").selectExpr("page_id", f"{_ARTIFACT} AS path".replace("VARCHAR(20)", "STRING"))
+    return x.select("page_id", T.is_translation_artifact(F.col("path")).alias("removed"))
+
+
+@query(f"""WITH {PAGES}, n AS (SELECT *, 'page-' || CASE WHEN page_number < 10000 THEN lpad(CAST(page_number AS VARCHAR), 4, '0') ELSE CAST(page_number AS VARCHAR) END || '.pdf' AS f FROM pg)
+SELECT job_id, page_number, 'pages/en/' || f || ',pdf-pages/en/' || f || ',pdf-pages/' || f || CASE WHEN path IS NULL OR path = 'pages/en/' || f THEN '' ELSE ',' || path END AS paths, page_number % 3 < 2 AS leftover FROM n""")
+def dml_13_page_files(spark, d):
+    """The files that clearing a page removes; names of the leftover are made up by rule."""
+    n, lang = F.col("page_number"), F.lit("en")
+    name = F.substring_index(T.page_path(lang, n), "/", -1)
+    left = F.concat(F.lit("."), name, F.when(n % 3 == 0, ".1.compressing.tmp.pdf").when(n % 3 == 1, ".precompress.bak").otherwise(".other"))
+    return pages(spark, d).select("job_id", "page_number", F.array_join(T.page_artifact_paths(lang, n, F.col("path")), ",").alias("paths"), T.is_compression_leftover(left, lang, n).alias("leftover"))
+
+
+@query("SELECT source AS job_id, lang AS run_id, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source, lang")
+def snk_09_run_profiles(spark, d):
+    """Profiles of all runs, written twice, and read back."""
+    path = folders.scratch(spark, "profiles")
+    runs = table(spark, d, "documents").groupBy(F.col("source").alias("job_id"), F.col("lang").alias("run_id")).agg(F.count(F.lit(1)).alias("pages"), F.sum("n_chars").cast("long").alias("chars"))
+    if not all([sinks.write_profiles(runs, path), sinks.write_profiles(runs, path)]):
+        raise OSError("profiles were not written")
+    return folders.read_json(spark, path, "pages long, chars long, job_id string, run_id string", lines=True).select("job_id", "run_id", "pages", "chars")
+
+
+@query("SELECT user_id AS run_id, event_id % 6 AS poll, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS kind, event_id AS id FROM events")
+def stm_07_new_ids(spark, d):
+    """Reports 0 to 6 of each run name all ids so far; the run ends with report 5."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type", F.explode(F.sequence(F.col("event_id") % 6, F.lit(6).cast("long"))).alias("poll"))
+    ids = lambda bad: F.collect_list(F.when((F.col("event_type") == "error") == F.lit(bad), F.col("event_id")))
+    polls = e.groupBy("run_id", "poll").agg(ids(False).alias("completed"), ids(True).alias("failed")).withColumn("state", F.when(F.col("poll") >= 5, "completed").otherwise("running"))
+    return stream_pages.new_ids(polls)

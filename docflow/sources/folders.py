@@ -22,8 +22,10 @@ MAX_FOLDER_FILES = 200
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared folder."""
+    """A new folder name under the cluster's shared folder; where none is set, a local one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docflow-"))
         root = spark.sparkContext.getCheckpointDir()

@@ -78,3 +78,29 @@ def windowed_timeline(stream: DataFrame, late: str = "10 minutes", width: str =
     """
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+#: States after which a run reports nothing new.
+ENDED = ("completed", "failed", "cancelled")
+
+
+def reported_ids(polls: DataFrame) -> DataFrame:
+    """run_id, poll, kind (completed or failed), id: one row per id of each status report."""
+    kinds = F.explode(F.create_map(F.lit("completed"), "completed", F.lit("failed"), "failed"))
+    return polls.select("run_id", "poll", kinds.alias("kind", "ids")).select("run_id", "poll", "kind", F.explode("ids").alias("id"))
+
+
+def new_ids(polls: DataFrame) -> DataFrame:
+    """run_id, poll, kind, id: the ids that no earlier report of the run named.
+
+    polls holds run_id, poll, state and the arrays completed and failed; reports after the first
+    that ends the run are ignored.  Ids are counted where they lie before the shuffle, and no run is gathered in a row.
+    """
+    end = polls.where(F.col("state").isin(*ENDED)).groupBy("run_id").agg(F.min("poll").alias("end"))
+    live = polls.join(end, "run_id", "left").where("end is null or poll <= end")
+    return reported_ids(live).groupBy("run_id", "kind", "id").agg(F.min("poll").alias("poll")).select("run_id", "poll", "kind", "id")
+
+
+def new_id_stream(polls: DataFrame) -> DataFrame:
+    """The same for a stream of reports: each id passes when it is first seen; a run's reports end with it."""
+    return reported_ids(polls).dropDuplicates(["run_id", "kind", "id"])

@@ -101,3 +101,51 @@ def test_rejected_files_are_listed(spark, tmp_path):
     assert sorted((r.relative_path, r.error) for r in folders.rejected(files).collect()) == [("b.txt", "too large"), ("e.txt", "blank")]
     with pytest.raises(Exception, match="b.txt: too large"):
         folders.import_documents(folders.all_accepted(files))[0].collect()
+
+
+def test_remove_artifacts(spark, tmp_path):
+    for name in ("pdf-pages/zh/a.pdf", ".tmp/x", "pdf_run.1.json", "pdf_run.1.txt", "exports/translated.pdf", "exports/mine.pdf", "source.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "pdf_pages.a.json").mkdir()
+    assert sinks.remove_artifacts(spark, str(tmp_path)) == [".tmp", "exports/translated.pdf", "pdf-pages", "pdf_run.1.json"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["exports", "pdf_pages.a.json", "pdf_run.1.txt", "source.pdf"]
+
+
+def test_rewrite_leaves_nothing_behind(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    sinks.rewrite_partition(spark, str(tmp_path / "t"), "id < 4")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_failed_profile_does_not_raise(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    df = spark.createDataFrame([("j", "r", 1)], "job_id string, run_id string, n int")
+    assert sinks.write_profiles(df, str(tmp_path / "p")) and not sinks.write_profiles(df, str(tmp_path / "file"))
+
+
+def test_new_ids_of_a_stream(spark, tmp_path):
+    schema = "run_id string, poll int, state string, completed array<string>, failed array<string>"
+    src = spark.createDataFrame([("r", 0, "running", ["a"], []), ("r", 1, "running", ["a", "b"], ["c"]), ("r", 2, "completed", ["a", "b"], ["c"]), ("r", 3, "completed", ["z"], None)], schema)
+    assert sorted((r.poll, r.kind, r.id) for r in pages.new_ids(src).collect()) == [(0, "completed", "a"), (1, "completed", "b"), (1, "failed", "c")]
+    src.write.parquet(str(tmp_path / "in"))
+    q = pages.new_id_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("ids").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("select kind, id from ids").count() == 4
+
+
+def test_starter_jobs_leave_existing_ones(spark):
+    from docflow.operators import saves
+
+    rows = spark.createDataFrame([("a", "a.md", "markdown", "zh-CN", "en"), ("b", "b.md", "markdown", "zh-CN", "en")], "job_id string, filename string, format string, source_lang string, target_lang string")
+    got = saves.starter_jobs(rows, F.lit("1"), rows.where("job_id = 'a'")).collect()
+    assert [(r.job_id, r.status, r.segment_count) for r in got] == [("b", "ready", 0)]
+
+
+def test_markdown_of_many_lines(spark):
+    from docflow.operators import generators as G
+
+    text = "\n".join(["# h", "one", "two", "```", "# code", "```", ""] * 3000 + ["~~~", "open"])
+    got = spark.createDataFrame([(text,)], "text string").select(G.markdown_blocks(F.col("text")).alias("b")).first().b
+    assert [b.block_type for b in got[:4]] == ["heading", "paragraph", "code", "metadata"] and len(got) == 12001
+    assert got[1].text == "one\ntwo" and got[2].text == "```\n# code\n```" and got[-1].text == "~~~\nopen"
