@@ -95,7 +95,7 @@ def language_dir(c: Column) -> Column:
 
 
 def page_path(lang: Column, page: Column) -> Column:
-    return F.concat(F.lit("pages/"), language_dir(lang), F.lit("/"), F.format_string("page-%04d.pdf", page))
+    return F.concat(F.lit("translated-pages/"), language_dir(lang), F.lit("/"), F.format_string("page-%04d.pdf", page))
 
 
 def page_of_path(path: Column) -> Column:

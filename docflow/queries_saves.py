@@ -187,7 +187,7 @@ def snk_14_removed_artifacts(spark, d):
 
 
 @query(f"""WITH {PAGES}, n AS (SELECT *, 'page-' || CASE WHEN page_number < 10000 THEN lpad(CAST(page_number AS VARCHAR), 4, '0') ELSE CAST(page_number AS VARCHAR) END || '.pdf' AS f FROM pg)
-SELECT job_id, page_number, 'pages/en/' || f || ',pdf-pages/en/' || f || ',pdf-pages/' || f || CASE WHEN path IS NULL OR path = 'pages/en/' || f THEN '' ELSE ',' || path END AS paths, page_number % 3 < 2 AS leftover FROM n""")
+SELECT job_id, page_number, 'translated-pages/en/' || f || ',pdf-pages/en/' || f || ',pdf-pages/' || f || CASE WHEN path IS NULL THEN '' ELSE ',' || path END AS paths, page_number % 3 < 2 AS leftover FROM n""")
 def dml_13_page_files(spark, d):
     """The files that clearing a page removes; names of the leftover are made up by rule."""
     n, lang = F.col("page_number"), F.lit("en")

@@ -215,7 +215,7 @@ def str_05_translation_file_id(spark, d):
     return table(spark, d, "pages").select("page_id", T.translation_file_id(F.col("url"), F.lit("zh-CN")).alias("file_id"))
 
 
-@query("SELECT page_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS dir, 'pages/' || CASE WHEN s = '' THEN 'unknown' ELSE s END || '/page-' || lpad(CAST(page_id % 9000 AS VARCHAR), 4, '0') || '.pdf' AS path, CAST(page_id % 9000 AS INTEGER) AS page FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)")
+@query("SELECT page_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS dir, 'translated-pages/' || CASE WHEN s = '' THEN 'unknown' ELSE s END || '/page-' || lpad(CAST(page_id % 9000 AS VARCHAR), 4, '0') || '.pdf' AS path, CAST(page_id % 9000 AS INTEGER) AS page FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)")
 def str_06_07_08_page_paths(spark, d):
     p = table(spark, d, "pages")
     path = T.page_path(F.col("url"), F.col("page_id") % 9000)
