@@ -102,5 +102,8 @@ def new_ids(polls: DataFrame) -> DataFrame:
 
 
 def new_id_stream(polls: DataFrame) -> DataFrame:
-    """The same for a stream of reports: each id passes when it is first seen; a run's reports end with it."""
+    """Ids of a stream of reports as they are first seen; reports after a run's end are not told apart.
+
+    The state holds every id of every run, without a bound.
+    """
     return reported_ids(polls).dropDuplicates(["run_id", "kind", "id"])
