@@ -1,12 +1,11 @@
-"""Operator 9: substring dedup by broadcast suffix automata of reference shards.
+"""Operator 9: substring dedup by suffix automata of bounded reference shards.
 
 A word goes if a run of ``length`` consecutive words that covers it also stands in a
 document with a smaller id.  The reference is every stretch of words that may repeat;
 it is dealt to shards, each shard becomes a suffix automaton whose states know the least
-id of their occurrences, groups of automata of at most ``GROUP_BYTES`` are broadcast, and
-the documents' stretches stream through them: the matching statistics tell for each run
-whether an automaton holds it under a smaller id.  Such runs are joined into maximal spans
-and removed.
+id of their occurrences, and the shard's stretches stream through it: the matching
+statistics tell for each run whether the automaton holds it under a smaller id.
+Such runs are joined into maximal spans and removed.
 
 What keeps this from being every document against every shard:
 
@@ -16,14 +15,15 @@ What keeps this from being every document against every shard:
   runs have equal anchors, and a run can only repeat where its anchor stands in two different
   texts.  Anchors travel packed by the ten thousand and sorted by value; what repeats
   within a task is settled there, so a very common anchor sends one entry a task;
-* the stretch of an anchor is the words of the runs it owns.  Stretches are dealt to groups by
-  anchor and written by group, so a group's automata meet only that group's stretches and
-  all passes together read them once.  An anchor with more than ``HOT`` different
-  stretches is dealt run by run.
+* the stretch of an anchor is the words of the runs it owns.  Of equal stretches all but those
+  of the least id go whole; a task settles that for ``GROUP_STRETCHES`` at a time before the
+  exchange, so a very common stretch sends one row for so many;
+* stretches are exchanged once, by shard, the shard being that of their anchor.  An anchor with
+  more than ``HOT`` stretches left is dealt run by run, settled likewise.
 
-An automaton that would pass ``PART_WORDS`` is cut into parts, and groups whose parts pass
-``GROUP_BYTES`` are broadcast in several rounds, so the bounds hold on any data.  Passes
-over groups follow one another: their number grows with the repeated text.
+A shard has about ``SHARD_ROWS`` stretches, whatever the size of the table. An automaton that would pass ``PART_WORDS``
+is cut into parts, and a task holds automata of about ``GROUP_BYTES`` side by side, so the bounds hold on any data. All
+work is one round of linear stages; there are no passes of the driver.
 
 Null text has no words.  A null id comes after all ids: its runs are removed where
 any document with an id holds them, and it removes nothing.  Texts are told apart by their word
@@ -41,21 +41,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import drop, fresh_path, release, stash, table
+from .common import drop, release, stash, table
 
 GRAM = 7
 #: Anchors that a task packs at once, and that one bucket of the exchange holds on average.
 PACK, BUCKET = 1 << 18, 1 << 18
-#: Bytes of automata broadcast at once, and words of reference text in one automaton at most.
-GROUP_BYTES, PART_WORDS = 48 << 20, 1 << 16
-#: Stretches of the documents per group on average, and shards of a group.
-GROUP_STRETCHES, SHARDS = 250_000, 32
-#: Different stretches of an anchor above which its runs are dealt one by one.
-HOT = 4096
+#: Bytes of automata side by side in a task, and words of reference text in one automaton at most.
+GROUP_BYTES, PART_WORDS = 24 << 20, 1 << 16
+#: Stretches that a task settles at once, stretches of a shard on average, and shards at least.
+GROUP_STRETCHES, SHARD_ROWS, SHARDS = 1 << 17, 256, 32
+#: Stretches of an anchor, after the tasks have settled theirs, above which its runs are dealt one by one.
+HOT = 512
 _LAST = 2**63 - 1
 _KNOWN = 0xFFFFFFFF
 
@@ -227,14 +228,101 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-STRETCHES = "group int, key long, doc_id long, anchor long, start int, words binary"
+class Stretches(NamedTuple):
+    """Stretches of texts: key of the text, its doc_id, first word and anchor; words[offset[i]:offset[i + 1]] are its word hashes."""
 
+    key: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    anchor: np.ndarray
+    words: np.ndarray
+    offset: np.ndarray
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int, groups: int) -> Iterator[pa.RecordBatch]:
+    @staticmethod
+    def read(batch: pa.RecordBatch) -> Stretches:
+        """Rows key, doc_id, start, anchor, words."""
+        raw, off = K.utf8(batch.column("words"))
+        words = np.frombuffer(raw[int(off[0]) : int(off[-1])].tobytes(), np.uint64)
+        return Stretches(*(batch.column(c).to_numpy() for c in ("key", "doc_id", "start", "anchor")), words, (off - off[0]) // 8)
+
+    @staticmethod
+    def join(parts: list[Stretches]) -> Stretches:
+        size = np.concatenate([np.diff(p.offset) for p in parts])
+        return Stretches(*(np.concatenate([p[i] for p in parts]) for i in range(5)), np.concatenate([[0], np.cumsum(size)]))
+
+    def take(self, at: np.ndarray) -> Stretches:
+        lo, size = self.offset[at], self.offset[at + 1] - self.offset[at]
+        offset = np.concatenate([[0], np.cumsum(size)])
+        return Stretches(self.key[at], self.doc[at], self.start[at], self.anchor[at], self.words[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])], offset)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two digests of each stretch's words."""
+        size = np.diff(self.offset)
+        place = np.arange(self.offset[-1]) - np.repeat(self.offset[:-1], size)
+        odd = K.constants(int(size.max(initial=1)), 303)[place]
+        with np.errstate(over="ignore"):
+            return tuple(K.mix64(np.add.reduceat(K.mix64(self.words ^ K.U64(t)) * odd, self.offset[:-1]) + size.astype(np.uint64)) for t in (11, 23))
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which stretches have the least id of their equals here, and which a greater one, both in order."""
+        c, d = self.digests()
+        order = np.lexsort((self.doc, d, c))
+        c, d, doc = c[order], d[order], self.doc[order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        more = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        return np.sort(order[~more]), np.sort(order[more])
+
+
+def _spans(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(keys, maximal spans of each) of ranges of words, whose ends grow with their begins."""
+    order = np.lexsort((begin, key))
+    key, begin, end = key[order], begin[order], end[order]
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (begin[1:] > end[:-1])]))
+    tail = np.concatenate([head[1:], [len(key)]]) - 1
+    spans = np.stack([begin[head], end[tail]], 1).astype(np.int32).ravel()
+    owner = key[head]
+    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+    return owner[edge[:-1]], pa.ListArray.from_arrays(pa.array((2 * edge).astype(np.int32)), pa.array(spans))
+
+
+STRETCHES = "shard long, key long, doc_id long, start int, anchor long, words binary, spans array<int>"
+_ROWS = pa.schema([*((c, pa.int64()) for c in ("shard", "key", "doc_id")), ("start", pa.int32()), ("anchor", pa.int64()), ("words", pa.binary()), ("spans", pa.list_(pa.int32()))])
+
+
+def _settle(x: Stretches, shard) -> Iterator[pa.RecordBatch]:
+    """Rows of the stretches that are to be matched, each with its shard, and of the spans of those that go whole."""
+    least, more = x.settled()
+    gone, x = x.take(more), x.take(least)
+    if len(gone.key):
+        key, spans = _spans(gone.key, gone.start.astype(np.int64), gone.start + np.diff(gone.offset))
+        none = [pa.nulls(len(key), f.type) for f in _ROWS]
+        none[0], none[1], none[6] = pa.array(K.signed(K.mix64(key.view(np.uint64)))), pa.array(key), spans
+        yield pa.RecordBatch.from_arrays(none, schema=_ROWS)
+    words = pa.Array.from_buffers(pa.binary(), len(x.key), [None, pa.py_buffer((x.offset * 8).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x.words).tobytes())])
+    columns = [pa.array(shard(x)), pa.array(x.key), pa.array(x.doc), pa.array(x.start.astype(np.int32)), pa.array(x.anchor), words, pa.nulls(len(x.key), _ROWS[6].type)]
+    whole = pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+    for at in range(0, whole.num_rows, 8192):
+        yield whole.slice(at, 8192)
+
+
+def _settle_all(parts: Iterator[Stretches], shard) -> Iterator[pa.RecordBatch]:
+    """_settle for GROUP_STRETCHES of the parts' stretches at a time."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x.key)
+        if n >= GROUP_STRETCHES:
+            yield from _settle(Stretches.join(held), shard)
+            held, n = [], 0
+    if held:
+        yield from _settle(Stretches.join(held), shard)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Stretches]:
     """The stretch of each listed anchor; columns are doc_id, text, key, places."""
     for batch in batches:
         raw, off = K.utf8(batch.column(1))
-        listed = batch.column(3)
+        doc, key, listed = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
         for a, b in K.slices(off):
             h, first = K.words(raw, off[a : b + 1], False)
             row, g, at, run = owners(h, first, length)
@@ -243,33 +331,23 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, groups: int) -> I
             owner = np.repeat(np.arange(b - a), np.diff(mine.offsets.to_numpy()))
             hot = np.isin(row * (1 << 40) + at - first[row], owner * (1 << 40) + want)
             row, g, lo, size = row[hot], g[hot], run[hot, 0], run[hot, 1] - run[hot, 0] + length
-            if not len(row):
-                continue
-            offset = np.concatenate([[0], np.cumsum(size)])
-            w = np.ascontiguousarray(h[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])])
-            words = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((offset * 8).astype(np.int32).tobytes()), pa.py_buffer(w.tobytes())])
-            group = (K.mix64(g) % np.uint64(groups)).astype(np.int32)
-            src = pa.array(row + a)
-            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(2).take(src), batch.column(0).take(src), pa.array(K.signed(g)), pa.array((lo - first[row]).astype(np.int32)), words], ["group", "key", "doc_id", "anchor", "start", "words"])
-
-
-DEALT = "shard int, key long, doc_id long, start int, words binary"
+            if len(row):
+                offset = np.concatenate([[0], np.cumsum(size)])
+                yield Stretches(key[row + a], doc[row + a], lo - first[row], K.signed(g), h[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])], offset)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Stretches (key, doc_id, start, words) run by run, each run to the shard of its hash."""
+def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Stretches]:
+    """Stretches run by run."""
     for batch in batches:
-        at, begin, runs, dealt = [], [], [], []
-        for i, x in enumerate(batch.column(3).to_pylist()):
-            w = np.frombuffer(x, np.uint64)
-            n = len(w) - length + 1
-            at += [i] * n
-            begin += range(n)
-            runs += [w[j : j + length].tobytes() for j in range(n)]
-            dealt += (K.windows(w, length) % np.uint64(shards)).tolist()
-        src = pa.array(at, pa.int64())
-        start = batch.column(2).take(src).to_numpy() + np.array(begin, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), batch.column(0).take(src), batch.column(1).take(src), pa.array(start.astype(np.int32)), pa.array(runs, pa.binary())], ["shard", "key", "doc_id", "start", "words"])
+        whole = Stretches.read(batch)
+        step = max(1, GROUP_STRETCHES // 8)
+        for a in range(0, len(whole.key), step):
+            x = whole.take(np.arange(a, min(a + step, len(whole.key))))
+            n = np.diff(x.offset) - length + 1
+            at = np.repeat(np.arange(len(n)), n)
+            begin = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            lo = x.offset[:-1][at] + begin
+            yield Stretches(x.key[at], x.doc[at], x.start[at] + begin, x.anchor[at], x.words[(lo[:, None] + np.arange(length)).ravel()], np.arange(len(at) + 1) * length)
 
 
 class Automaton(NamedTuple):
@@ -363,13 +441,6 @@ class Automaton(NamedTuple):
         fan_state, fan_code, fan_to = (np.array(x, np.int32) for x in zip(*edges)) if edges else (np.zeros(0, np.int32),) * 3
         return Automaton(vocabulary[np.maximum(code, 0)], np.array(to, np.int32), up, depth, low, fan_state, vocabulary[fan_code], fan_to)
 
-    @staticmethod
-    def load(blobs: list[bytes]) -> Automaton:
-        return Automaton(*(np.frombuffer(b, t) for b, t in zip(blobs, _KINDS)))
-
-
-_KINDS = ("<u8", "<i4", "<i4", "<i4", "<i8", "<i4", "<u8", "<i4")
-
 
 def _edge(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -436,70 +507,106 @@ class Shards:
         return out, first
 
 
-BUILT = "shard int, size long, " + ", ".join(f"a{i} binary" for i in range(len(_KINDS)))
+def _automata(shard: np.ndarray, x: Stretches) -> tuple[np.ndarray, list[Automaton]]:
+    """(shard, automaton) of each part of at most PART_WORDS words; x comes sorted by shard."""
+    of, parts, texts, ids, n = [], [], [], [], 0
+    c, d = x.digests()
+    seen: set[tuple[int, int]] = set()
+    for i, equal in enumerate(zip(c.tolist(), d.tolist())):
+        new = i == 0 or shard[i] != shard[i - 1]
+        size = int(x.offset[i + 1] - x.offset[i])
+        if texts and (new or n + size > PART_WORDS):
+            of.append(shard[i - 1])
+            parts.append(Automaton.build(texts, ids))
+            texts, ids, n = [], [], 0
+        seen = set() if new else seen
+        if equal not in seen:
+            seen.add(equal)
+            texts.append(x.words[x.offset[i] : x.offset[i + 1]])
+            ids.append(int(x.doc[i]))
+            n += size
+    if texts:
+        of.append(shard[-1])
+        parts.append(Automaton.build(texts, ids))
+    return np.array(of, np.int64), parts
 
 
-def _build(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Automata of rows (shard, words, least) sorted by shard, each of at most limit words."""
-    shard, texts, ids, n = None, [], [], 0
+def _rounds(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of the automata, in order, whose bytes stay within GROUP_BYTES; one alone may pass it."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > GROUP_BYTES:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if len(sizes) > at:
+        yield at, len(sizes)
 
-    def done() -> pa.RecordBatch:
-        blobs = [x.astype(t).tobytes() for x, t in zip(Automaton.build(texts, ids), _KINDS)]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sum(map(len, blobs))], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], ["shard", "size", *(f"a{i}" for i in range(len(blobs)))])
 
-    for batch in batches:
-        for s, w, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if texts and (s != shard or n + len(w) // 8 > limit):
-                yield done()
-                texts, ids, n = [], [], 0
-            shard = s
-            texts.append(np.frombuffer(w, np.uint64))
-            ids.append(doc)
-            n += len(w) // 8
-    if texts:
-        yield done()
+def _stream(shard: np.ndarray, x: Stretches, length: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Keys and spans of the runs that the automata of the stretches' shards hold under a smaller id than theirs."""
+    of, parts = _automata(shard, x)
+    for a, b in _rounds([sum(f.nbytes for f in p) for p in parts]):
+        shards, mine = Shards(parts[a:b]), of[a:b]
+        nth = np.arange(len(mine)) - np.searchsorted(mine, mine)
+        for k in range(int(nth.max()) + 1):  # the k-th part of each shard
+            root = shards.roots[nth == k]
+            had = mine[nth == k]
+            i = np.minimum(np.searchsorted(had, shard), len(had) - 1)
+            at = np.flatnonzero(had[i] == shard)
+            y = x.take(at)
+            hold, first = shards.holders(root[i[at]], y.words, y.offset, length)
+            own = np.repeat(np.arange(len(at)), np.diff(first))
+            begin = y.start[own].astype(np.int64) + np.arange(first[-1]) - first[own]
+            gone = hold < y.doc[own]
+            if gone.any():
+                yield _spans(y.key[own[gone]], begin[gone], begin[gone] + length)
+
+
+def _match(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """key and spans to remove, of rows as of _settle, which come sorted by shard."""
+    schema = pa.schema([_ROWS.field("key"), _ROWS.field("spans")])
+    held: list[tuple[np.ndarray, Stretches]] = []
+    n = least = 0
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        """Keep of the held shards' equal stretches those of the least id."""
+        shard, x = np.concatenate([h[0] for h in held]), Stretches.join([h[1] for h in held])
+        held.clear()
+        rest, more = x.settled()
+        held.append((shard[rest], x.take(rest)))
+        more = x.take(more)
+        if len(more.key):
+            yield pa.RecordBatch.from_arrays(list(_spans(more.key, more.start.astype(np.int64), more.start + np.diff(more.offset))), schema=schema)
 
+    def done() -> Iterator[pa.RecordBatch]:
+        yield from settle()
+        shard, x = np.concatenate([h[0] for h in held]), Stretches.join([h[1] for h in held])
+        held.clear()
+        for key, spans in _stream(shard, x, length):
+            yield pa.RecordBatch.from_arrays([pa.array(key), spans], schema=schema)
 
-def _stream(batches: Iterator[pa.RecordBatch], group, length: int) -> Iterator[pa.RecordBatch]:
-    """key and spans of the runs that the broadcast automata hold under a smaller id than doc_id."""
-    schema = pa.schema([("key", pa.int64()), ("spans", pa.list_(pa.int32()))])
     for batch in batches:
-        shards, of = group.value
-        key, doc, start = (batch.column(c).to_numpy() for c in (1, 2, 3))
-        raw, off = K.utf8(batch.column(4))
-        shard = batch.column(0).to_numpy()
-        for k in range(int(np.bincount(of).max())):  # the k-th part of each shard
-            part = np.full(int(max(of.max(), shard.max(initial=0))) + 1, -1)
-            for s in np.unique(of):
-                mine = np.flatnonzero(of == s)
-                if len(mine) > k:
-                    part[s] = mine[k]
-            at = np.flatnonzero(part[shard] >= 0)
-            if not len(at):
-                continue
-            lo, size = off[at] // 8, (off[at + 1] - off[at]) // 8
-            base = int(off[0])
-            words = raw[base : int(off[-1])].view(np.uint64)
-            lo = lo - base // 8
-            offset = np.concatenate([[0], np.cumsum(size)])
-            w = words[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])]
-            hold, first = shards.holders(shards.roots[part[shard[at]]], w, offset, length)
-            runs = np.diff(first)
-            own = np.repeat(np.arange(len(at)), runs)
-            begin = start[at][own] + np.arange(first[-1]) - first[own]
-            gone = hold < doc[at][own]
-            own, begin = key[at][own[gone]], begin[gone]
-            if not len(own):
-                continue
-            order = np.lexsort((begin, own))
-            own, begin = own[order], begin[order]
-            new = np.concatenate([[True], (own[1:] != own[:-1]) | (begin[1:] > begin[:-1] + length)])
-            head = np.flatnonzero(new)
-            tail = np.concatenate([head[1:], [len(own)]]) - 1
-            spans = np.stack([begin[head], begin[tail] + length], 1).astype(np.int32).ravel()
-            owner = own[head]
-            edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
-            yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), pa.ListArray.from_arrays(pa.array((2 * edge).astype(np.int32)), pa.array(spans))], schema=schema)
+        whole = batch.column("words").is_null()
+        settled = batch.filter(whole)
+        if settled.num_rows:
+            yield settled.select(["key", "spans"])
+        batch = batch.filter(pc.invert(whole))
+        if not batch.num_rows:
+            continue
+        shard, x = batch.column("shard").to_numpy(), Stretches.read(batch)
+        edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        for a, b in zip(edge[:-1], edge[1:]):
+            if held and held[-1][0][-1] != shard[a] and n >= GROUP_STRETCHES // 4:
+                yield from done()
+                n = least = 0
+            held.append((shard[a:b], x.take(np.arange(a, b))))
+            n += int(b - a)
+            if n >= GROUP_STRETCHES + 2 * least:  # a shard of many copies
+                yield from settle()
+                n = least = sum(len(h[0]) for h in held)
+    if held:
+        yield from done()
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,51 +630,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
-def _rounds(sizes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Ranges of the automata, in order, whose bytes stay within GROUP_BYTES; one alone may pass it."""
-    at, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > at and total + size > GROUP_BYTES:
-            yield at, i
-            at, total = i, 0
-        total += size
-    if len(sizes) > at:
-        yield at, len(sizes)
-
-
-def _held(spark: SparkSession, stretches: str, groups: int, length: int) -> DataFrame:
-    """key and spans of the stretches' runs that a smaller id holds, group by group."""
-    all_of = spark.read.parquet(stretches)
-    limit = PART_WORDS
-    hot = all_of.select("anchor", F.xxhash64("words").alias("c")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor")
-    hot = stash(hot, "hot-anchors")
-    found = fresh_path(spark, "spans")
-    spark.createDataFrame([], "key long, spans array<int>").write.parquet(found)
-    columns, shards = ["key", "doc_id", "start", "words"], SHARDS
-    any_hot = not hot.isEmpty()
-    for g in range(groups):
-        own = all_of.where(F.col("group") == g)
-        cold = own.join(hot, "anchor", "left_anti") if any_hot else own
-        dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), *columns)
-        if any_hot:
-            dealt = dealt.unionByName(own.join(hot, "anchor", "left_semi").select(columns).mapInArrow(_lean(lambda it: _deal(it, length, shards)), DEALT))
-        reference = dealt.groupBy("shard", "words").agg(F.min("doc_id").alias("least"))
-        built = reference.repartition("shard").sortWithinPartitions("shard").select("shard", "words", "least").mapInArrow(_lean(lambda it: _build(it, limit)), BUILT)
-        built = stash(built.withColumn("part", F.monotonically_increasing_id()), "automata")
-        listed = built.select("shard", "part", "size").orderBy("shard", "part").collect()
-        for a, b in _rounds([r.size for r in listed]):
-            rows = built.where(F.col("part").isin([r.part for r in listed[a:b]])).orderBy("shard", "part").toArrow()
-            of = rows.column("shard").to_numpy()
-            blobs = [rows.column(f"a{i}") for i in range(len(_KINDS))]
-            group = Shards([Automaton.load([c[i].as_buffer() for c in blobs]) for i in range(len(of))])
-            del rows, blobs
-            sent = spark.sparkContext.broadcast((group, of))
-            del group
-            dealt.mapInArrow(_lean(lambda it, sent=sent: _stream(it, sent, length)), "key long, spans array<int>").write.mode("append").parquet(found)
-            sent.destroy()
-        drop(built)
-        release(spark)
-    return spark.read.parquet(found)
+def _held(stretches: DataFrame, length: int) -> DataFrame:
+    """key and spans to remove, of rows as of _settle."""
+    spark = stretches.sparkSession
+    todo = stretches.where("words is not null")
+    rows = todo.count()
+    shards = max(SHARDS, rows // SHARD_ROWS)
+    hot = stash(todo.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("anchor"), "hot-anchors")
+    columns = ["key", "doc_id", "start", "anchor", "words"]
+    by_anchor = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    cold, some = todo, not hot.isEmpty()
+    if some:
+        cold = todo.join(hot, "anchor", "left_anti")
+    dealt = cold.select(by_anchor, *columns, "spans")
+    if some:
+        by_run = lambda x: (x.digests()[0] % np.uint64(shards)).astype(np.int64)
+        runs = todo.join(hot, "anchor", "left_semi").select(columns).mapInArrow(_lean(lambda it: _settle_all(_runs(it, length), by_run)), STRETCHES)
+        dealt = dealt.unionByName(runs.select("shard", *columns, "spans"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+    matched = dealt.mapInArrow(_lean(lambda it: _match(it, length)), "key long, spans array<int>")
+    return matched.unionByName(stretches.where("words is null").select("key", "spans"))
 
 
 def substring_spans(docs: DataFrame, length: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -588,15 +670,14 @@ def substring_spans(docs: DataFrame, length: int = 13) -> tuple[DataFrame, DataF
     spots = stash(places.join(reps.withColumnRenamed("d1", "class"), "class").select("doc_id", "t1", "t2", "key", "places"), "places")
     release(spark)
 
-    groups = max(1, -(-(spots.agg(F.sum(F.size("places"))).first()[0] or 0) // GROUP_STRETCHES))
     near = d.join(spots, ["doc_id", "t1", "t2"]).select("doc_id", "text", "key", "places")
-    path = fresh_path(spark, "stretches")
-    near.mapInArrow(_lean(lambda it: _stretches(it, length, groups)), STRETCHES).write.option("compression", "zstd").partitionBy("group").parquet(path)
+    by_key = lambda x: np.zeros(len(x.key), np.int64)
+    stretches = stash(near.mapInArrow(_lean(lambda it: _settle_all(_stretches(it, length), by_key)), STRETCHES), "stretches")
+    release(spark)
+    found = stash(_held(stretches, length), "spans")
+    drop(stretches)
     release(spark)
-    if not spots.isEmpty():
-        found = _held(spark, path, groups, length).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    else:
-        found = spark.createDataFrame([], "key long, spans array<int>")
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     overview = seen.drop("t1", "t2").join(reps.select("d1", "d2", "key", F.col("doc_id").alias("rep")), ["d1", "d2"], "left")
     return overview, reps.select("doc_id", "t1", "t2", "key"), found
 

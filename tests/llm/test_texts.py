@@ -137,6 +137,19 @@ def test_substrings_brute(spark, docs, small, monkeypatch):
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_substrings_take_a_fixed_number_of_jobs(spark, docs, monkeypatch):
+    """What a task holds at once has no part in the number of jobs."""
+    sc, jobs = spark.sparkContext, []
+    for name, stretches in (("wide", substring.GROUP_STRETCHES), ("narrow", 100)):
+        monkeypatch.setattr(substring, "GROUP_STRETCHES", stretches)
+        sc.setJobGroup(name, name)
+        got = sorted(map(tuple, substring.dedup_substrings(docs).collect()), key=str)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(name)))
+        assert got == brute_substrings(corpus())
+    sc.setJobGroup("rest", "rest")
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_substrings_of_shared_ids(spark):
     """Several null ids, and an id with several texts, of different lengths."""
     rng = random.Random(5)
