@@ -94,15 +94,31 @@ def requests_in_runs(requests: DataFrame, runs: DataFrame, slop_ms: int = 5000)
 
     The window is cut into slots as wide as its slop-bounded bucket so that the range
     condition rides on an equi-join; a request is in one slot, a run in each slot it covers.
-    A run whose own context matches no request takes all in its window.
+    A run whose own context matches no request takes all in its window.  Which runs these are
+    is told by the first and last time of each context in a slot, as a window of several slots holds
+    an end of each; windows within one slot look at the requests.  So the requests in the windows
+    are the result as they are joined, and are not gathered by run.
     """
     slot = 3_600_000
-    r = runs.select("*", F.explode(F.sequence(F.floor((F.col("start_ms") - slop_ms) / slot), F.floor((F.col("end_ms") + slop_ms) / slot))).alias("slot"))
+    lo, hi = F.col("start_ms") - slop_ms, F.col("end_ms") + slop_ms
+    runs = runs.where(lo <= hi)
+    slots = F.sequence(F.floor(lo / slot), F.floor(hi / slot))
     q = requests.withColumn("slot", F.floor(F.col("timestamp_ms") / slot))
-    hit = r.join(q.withColumnRenamed("run_id", "q_run"), "slot").where(f"timestamp_ms between start_ms - {slop_ms} and end_ms + {slop_ms}").drop("slot")
-    hit = hit.withColumn("own", F.col("context") == F.col("wanted"))
-    some = hit.groupBy("run_id").agg(F.bool_or("own").alias("some"))
-    return hit.join(some, "run_id").where("own or not some").drop("own", "some")
+    own = F.col("context") == F.col("wanted")
+    within = F.col("timestamp_ms").between(lo, hi)
+
+    times = q.where("context is not null").groupBy("slot", "context").agg(F.min("timestamp_ms").alias("least"), F.max("timestamp_ms").alias("most"))
+    times = times.groupBy("slot").agg(F.collect_list(F.struct("context", "least", "most")).alias("times"))
+    r = runs.select("run_id", "start_ms", "end_ms", "wanted", F.explode(slots).alias("slot"))
+    several = F.floor(lo / slot) < F.floor(hi / slot)
+    met = r.where(several).join(times, "slot").select("run_id", "wanted", F.filter("times", lambda x: (x["most"] >= lo) & (x["least"] <= hi)).alias("met"))
+    told = met.select("run_id", F.exists("met", lambda x: x["context"] == F.col("wanted")).alias("some"), (F.col("wanted").isNotNull() & (F.size("met") > 0)).alias("known"))
+    if not runs.where(~several).isEmpty():
+        told = told.unionByName(r.where(~several).join(q.select("slot", "timestamp_ms", "context"), "slot").where(within).select("run_id", own.alias("some"), own.isNotNull().alias("known")))
+    told = told.groupBy("run_id").agg(F.coalesce(F.bool_or("some"), F.lit(False)).alias("some"), F.bool_or("known").alias("known"))
+
+    taking = runs.join(told.where("known").drop("known"), "run_id").withColumn("slot", F.explode(slots))
+    return taking.join(q.withColumnRenamed("run_id", "q_run"), "slot").where(within & (own | ~F.col("some"))).drop("slot", "some")
 
 
 def reconciled_pages(pages: DataFrame, listing: DataFrame) -> DataFrame:

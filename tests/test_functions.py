@@ -8,6 +8,7 @@ from docflow.functions import text as T
 from docflow.functions import values as V
 from docflow.operators import chunker as C
 from docflow.operators import generators as G
+from docflow.operators import joins
 from docflow.plans import batches, provider
 
 
@@ -165,3 +166,26 @@ def test_json_answers(spark):
 def test_replayed_windows(spark):
     times = F.array(*[F.lit(t).cast("long") for t in (0, 10, 20, 90, 91, 92, 93, 400)])
     assert one(spark, batches.windowed_batches(times, 3, 80)) == [0, 0, 0, 1, 1, 1, 2, 3]
+
+
+def test_requests_in_runs_against_model(spark):
+    """Windows of one and of several slots, null contexts, null and repeated runs; requests are not shuffled by run."""
+    rng = random.Random(11)
+    hour, ctx = 3_600_000, ["a", "b", "c", None]
+    req = [(i, rng.randrange(9), rng.randrange(-2 * hour, 9 * hour), ctx[rng.randrange(4)]) for i in range(300)]
+    req += [(300 + i, 1, 20 * hour + i * hour // 4, None) for i in range(12)] + [(400, 1, None, "a"), (401, None, 5 * hour, "a"), (402, 2, 30 * hour + 10, "a"), (403, 2, 31 * hour - 10, "a"), (404, 2, 30 * hour + hour // 2, "b")]
+    runs = [(i, s := rng.randrange(-2 * hour, 9 * hour), s + rng.choice([0, 1000, hour // 3, hour, 3 * hour, -8000, -12000]), rng.choice(["a", "b", "x", None])) for i in range(120)]
+    runs += [(200, 20 * hour, 23 * hour, "a"), (201, 20 * hour + 5000, 20 * hour + 9000, "a"), (5, 0, hour, "c"), (None, 0, hour, "a"), (202, None, hour, "a"), (203, 30 * hour + hour // 2 - 9, 30 * hour + hour // 2 + 9, "a")]
+    q = spark.createDataFrame(req, "event_id long, run_id long, timestamp_ms long, context string")
+    r = spark.createDataFrame(runs, "run_id long, start_ms long, end_ms long, wanted string")
+    hits = [(i, w, e, c) for i, s, t, w in runs if i is not None and s is not None for e, _, ts, c in req if ts is not None and s - 5000 <= ts <= t + 5000]
+    some = {}
+    for i, w, _, c in hits:
+        some.setdefault(i, []).append(None if w is None or c is None else w == c)
+    some = {i: None if all(x is None for x in v) else any(x is True for x in v) for i, v in some.items()}
+    want = sorted((i, e) for i, w, e, c in hits if (w is not None and w == c) or some[i] is False)
+    out = joins.requests_in_runs(q, r)
+    assert out.columns == ["run_id", "start_ms", "end_ms", "wanted", "event_id", "q_run", "timestamp_ms", "context"]
+    assert sorted(map(tuple, out.select("run_id", "event_id").collect())) == want
+    last = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x)
+    assert re.search(r"\(slot#\d+L? = slot#\d+L?\)", last) and "run_id" not in last, last
