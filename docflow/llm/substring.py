@@ -54,7 +54,7 @@ PACK, BUCKET = 1 << 18, 1 << 18
 #: Bytes of automata side by side in a task, and words of reference text in one automaton at most.
 GROUP_BYTES, PART_WORDS = 24 << 20, 1 << 16
 #: Stretches that a task settles at once, stretches of a shard on average, and shards at least.
-GROUP_STRETCHES, SHARD_ROWS, SHARDS = 1 << 17, 256, 32
+GROUP_STRETCHES, SHARD_ROWS, SHARDS = 1 << 16, 256, 32
 #: Stretches of an anchor, after the tasks have settled theirs, above which its runs are dealt one by one.
 HOT = 512
 _LAST = 2**63 - 1
@@ -256,12 +256,17 @@ class Stretches(NamedTuple):
         return Stretches(self.key[at], self.doc[at], self.start[at], self.anchor[at], self.words[np.repeat(lo - offset[:-1], size) + np.arange(offset[-1])], offset)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two digests of each stretch's words."""
-        size = np.diff(self.offset)
-        place = np.arange(self.offset[-1]) - np.repeat(self.offset[:-1], size)
-        odd = K.constants(int(size.max(initial=1)), 303)[place]
-        with np.errstate(over="ignore"):
-            return tuple(K.mix64(np.add.reduceat(K.mix64(self.words ^ K.U64(t)) * odd, self.offset[:-1]) + size.astype(np.uint64)) for t in (11, 23))
+        """Two digests of each stretch's words, some thousand stretches at a time to keep scratch arrays small."""
+        out = np.empty((2, len(self.key)), np.uint64)
+        odd = K.constants(int(np.diff(self.offset).max(initial=1)), 303)
+        for a in range(0, len(self.key), 4096):
+            edge = self.offset[a : a + 4097]
+            lo, size, w = edge[:-1] - edge[0], np.diff(edge), self.words[edge[0] : edge[-1]]
+            factor = odd[np.arange(len(w)) - np.repeat(lo, size)]
+            with np.errstate(over="ignore"):
+                for i, t in enumerate((11, 23)):
+                    out[i, a : a + 4096] = K.mix64(np.add.reduceat(K.mix64(w ^ K.U64(t)) * factor, lo) + size.astype(np.uint64))
+        return out[0], out[1]
 
     def settled(self) -> tuple[np.ndarray, np.ndarray]:
         """Which stretches have the least id of their equals here, and which a greater one, both in order."""
@@ -340,7 +345,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Stretches]
     """Stretches run by run."""
     for batch in batches:
         whole = Stretches.read(batch)
-        step = max(1, GROUP_STRETCHES // 8)
+        step = max(1, GROUP_STRETCHES // 32)
         for a in range(0, len(whole.key), step):
             x = whole.take(np.arange(a, min(a + step, len(whole.key))))
             n = np.diff(x.offset) - length + 1
