@@ -28,9 +28,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of several rows with that id the one whose columns hash least stays; rows with a null id all stay.
     """
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = stash(near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").select("doc_id")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id is not null and rows > 1").select("doc_id")
+    again = stash(again.join(gone, "doc_id", "left_anti"), "repeated-ids")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     one = left.join(again, "doc_id", "left_semi").withColumn("row in id", F.row_number().over(order)).where("`row in id` = 1").select(docs.columns)
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)

@@ -245,7 +245,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     for e in edges[1:]:
         every = every.unionByName(e.select("u", "v"))
     comp = components(every).withColumnRenamed("node", "rep")
+    # A table, as the result holds it four times: a plan that spells it out each time fills the driver.
     classes = reps.groupBy("rep").agg(F.sum("rows").alias("c")).join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "c")
+    classes = stash(classes, "class-components")
+    release(spark)
     by_id = ties.join(classes, "rep").groupBy("doc_id").agg(F.min("component").alias("own"))
     out = spread_join(named.where("rep is not null"), classes, "rep", total).select("doc_id", "n_shingles", "component")
     alone = named.where("rep is null").join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docflow.llm import common, mixing, registry, urls, vectors
+from docflow.llm import common, mixing, near_dup, registry, urls, vectors
 from tests.llm.test_texts import brute_components
 from tests.oracle import SF, agree
 
@@ -189,3 +189,10 @@ def test_pipeline_removals_against_brute_force(spark):
     leaks = {i for i, t in rows for g in [grams(t)] for q in items if i is not None and q and 100 * len(q & g) >= 80 * len(q)}
     left = {r.doc_id for r in corpus_pipeline.remove_leaks(spark, docs, SF).select("doc_id").collect()}
     assert left == {i for i, _ in rows} - leaks and leaks
+
+
+def test_near_dup_plans_stay_small(spark):
+    """What a result reads several times is a table by then; spelt out in the plan, it filled the driver."""
+    docs = common.table(spark, SF, "documents")
+    for df in (near_dup.near_duplicates(docs), corpus_pipeline.deduplicate(spark, docs, SF)):
+        assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 10
